@@ -39,3 +39,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def settle(df):
+    """Write a shared intermediate table once and read it back.
+
+    The table lies in the shared checkpoint folder, so it outlives executors, is column-pruned by its
+    readers and is computed once however many plans use it.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
