@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import half_even
+
 BPS = 10_000.0
 
 
@@ -21,7 +23,7 @@ def directed_return_pct(entry: Column, exit_: Column, slippage_bps: float, short
         value = (entry * (1 - s) - exit_ * (1 + s)) / (entry * (1 - s)) * 100.0
     else:
         value = (exit_ * (1 - s) - entry * (1 + s)) / (entry * (1 + s)) * 100.0
-    return F.bround(value, 4)
+    return half_even(value, 4)
 
 
 def additive_entry_fill(price: Column, slippage_bps: float, commission_bps: float) -> Column:

@@ -97,7 +97,7 @@ def ticker_quality(bars: DataFrame, policy: CleaningPolicy, development_start: s
         {
             "longest_run": F.coalesce("longest_run", F.lit(0)),
             "cleaned_rows": F.col("raw_rows") - F.col("invalid_rows"),
-            "invalid_rate_pct": F.round(F.col("invalid_rows") / F.col("raw_rows") * 100.0, 6),
+            "invalid_rate_pct": F.col("invalid_rows") / F.col("raw_rows") * 100.0,
         }
     )
     reasons = F.array_compact(

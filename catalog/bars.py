@@ -132,7 +132,7 @@ def _(spark, sf):
     return runs.select("ticker", "first_pos", "length")
 
 
-POLICY = CleaningPolicy(max_invalid_rows=150, max_invalid_rate_pct=10.0, max_consecutive=3, min_rows=100)
+POLICY = CleaningPolicy(max_invalid_rows=210, max_invalid_rate_pct=14.0, max_consecutive=4, min_rows=100)
 DEVELOPMENT = "1996-01-01"
 CLEAN = f"""
 tq AS MATERIALIZED (
@@ -142,9 +142,9 @@ tq AS MATERIALIZED (
     coalesce((SELECT max(length) FROM runs WHERE runs.ticker = c.ticker), 0) AS longest_run
   FROM coded c JOIN (SELECT ticker, count(*) AS n FROM coded GROUP BY 1) t ON t.ticker = c.ticker GROUP BY c.ticker),
 verdict AS MATERIALIZED (
-  SELECT *, invalid_rows / raw_rows * 100e0 AS rate, concat_ws('|', CASE WHEN longest_run > 3 THEN 'consecutive' END,
-    CASE WHEN edge THEN 'first_or_last_row' END, CASE WHEN invalid_rows > 150 THEN 'count' END,
-    CASE WHEN invalid_rows / raw_rows * 100e0 > 10 THEN 'rate' END, CASE WHEN cleaned_rows = 0 THEN 'no_rows' END,
+  SELECT *, invalid_rows / raw_rows * 100e0 AS rate, concat_ws('|', CASE WHEN longest_run > 4 THEN 'consecutive' END,
+    CASE WHEN edge THEN 'first_or_last_row' END, CASE WHEN invalid_rows > 210 THEN 'count' END,
+    CASE WHEN invalid_rows / raw_rows * 100e0 > 14 THEN 'rate' END, CASE WHEN cleaned_rows = 0 THEN 'no_rows' END,
     CASE WHEN warmup_rows < 100 THEN 'warmup' END) AS failure_reasons FROM tq)"""
 
 
