@@ -14,7 +14,7 @@ INDICATOR_COLUMNS = [
 ]
 
 
-def _ema_input(value, alpha: float, first: int):
+def ema_input(value, alpha: float, first: int):
     """Smoothing input of an exponential average seeded with the value at position ``first``."""
     return (
         F.when(F.col("pos") == first, value)
@@ -52,9 +52,9 @@ def add_indicators_to_blocks(df: DataFrame, keys: Sequence[str] = ("ticker",)) -
     wilder = 1.0 / 14.0
     close = F.col("close")
     spans = {"_e12": 12, "_e26": 26, "_e20": 20, "_e50": 50}
-    specs = {n: (_ema_input(close, 2.0 / (s + 1), 0), 2.0 / (s + 1)) for n, s in spans.items()}
-    specs["_gain"] = (_ema_input(F.col("_up"), wilder, 0), wilder)
-    specs["_loss"] = (_ema_input(F.col("_dn"), wilder, 0), wilder)
+    specs = {n: (ema_input(close, 2.0 / (s + 1), 0), 2.0 / (s + 1)) for n, s in spans.items()}
+    specs["_gain"] = (ema_input(F.col("_up"), wilder, 0), wilder)
+    specs["_loss"] = (ema_input(F.col("_dn"), wilder, 0), wilder)
     specs["_atr"] = (
         F.when(pos < 13, F.lit(0.0)).when(pos == 13, F.col("_tr14")).otherwise(F.col("_tr") * F.lit(wilder)),
         wilder,
@@ -63,7 +63,7 @@ def add_indicators_to_blocks(df: DataFrame, keys: Sequence[str] = ("ticker",)) -
     macd = F.when(pos >= 25, F.col("_e12") - F.col("_e26"))
     df = df.withColumn("macd", macd)
     signal_alpha = 2.0 / 10.0
-    df = smooth(df, keys, {"_signal": (_ema_input(F.col("macd"), signal_alpha, 25), signal_alpha)})
+    df = smooth(df, keys, {"_signal": (ema_input(F.col("macd"), signal_alpha, 25), signal_alpha)})
     upper = F.col("_mid") + 2 * F.col("_dev")
     lower = F.col("_mid") - 2 * F.col("_dev")
     has20 = pos >= 19

@@ -57,14 +57,17 @@ def market_bars(spark: SparkSession, sf_dir: str, family: bool = False) -> DataF
     return ticks_to_bars(ticks, ["ticker", "ts"], _line_order())
 
 
-def event_bars(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
-    """Intraday bars of event types; every event is one unit of volume."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+def event_bars(spark: SparkSession, sf_dir: str, minutes: int = 60, user_groups: int = 1) -> DataFrame:
+    """Intraday bars of event types (times user groups); every event is one unit of volume."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value", "user_id")
     step = minutes * 60
     t = F.col("ts").cast("timestamp")
     start = F.timestamp_seconds(F.floor(F.unix_seconds(t) / step) * step)
+    ticker = F.col("event_type")
+    if user_groups > 1:
+        ticker = F.concat(ticker, F.lit("-"), F.col("user_id") % user_groups)
     ticks = ev.select(
-        F.col("event_type").alias("ticker"), start.alias("bar_ts"), F.unix_micros(t).alias("us"),
+        ticker.alias("ticker"), start.alias("bar_ts"), F.unix_micros(t).alias("us"),
         "event_id", F.col("value").alias("price"), F.lit(1.0).alias("quantity"),
     )
     # microseconds inside the bar, then the event id

@@ -95,7 +95,8 @@ def similarity_sql(windows, fp, name, keys):
     expr = {"price_pct": rnd_even("(close / base - 1) * 100", 4), "volume_ratio": rnd_even("volume / vavg", 4), "rsi": rnd_even("rsi", 2),
             "macd_diff": rnd_even("macd_diff", 4), "bb_width": rnd_even("bb_width", 4)}
     union = "\nUNION ALL\n".join(f"SELECT {keys}, idx, '{s}' AS series, {e} AS v FROM {windows}" for s, e in expr.items())
-    weights = " ".join(f"WHEN '{s}' THEN {w}e0" for s, w in SIMILARITY_WEIGHTS.items())
+    terms = " + ".join(f"max(score) FILTER (series = '{s}') * {w}e0" for s, w in SIMILARITY_WEIGHTS.items())
+    weighted = f"(0e0 + {terms}) / {sum(SIMILARITY_WEIGHTS.values())!r}::DOUBLE"
     out = ", ".join(f"max(score) FILTER (series = '{s}') AS score_{s}" for s in SIMILARITY_WEIGHTS)
     return f"""
 {name}_v AS ({union}),
@@ -104,7 +105,7 @@ def similarity_sql(windows, fp, name, keys):
     coalesce(CASE WHEN stddev_pop(v) > 0 AND stddev_pop(mean) > 0 THEN {rnd_even('(corr(v, mean) + 1) / 2 * 100', 1)} END, 0) AS score
   FROM {name}_v JOIN {fp} USING (series, idx) GROUP BY {keys}, event_type, n_events, series),
 {name} AS MATERIALIZED (
-  SELECT {keys}, event_type, n_events AS fp_events, {out}, {rnd_even(f'sum(score * CASE series {weights} END) / 1e0', 1)} AS similarity_score
+  SELECT {keys}, event_type, n_events AS fp_events, {out}, {rnd_even(weighted, 1)} AS similarity_score
   FROM {name}_s GROUP BY {keys}, event_type, n_events)"""
 
 
@@ -179,7 +180,7 @@ def _(spark, sf):
     with_(*SPLIT_FRAME, OBS, select=f"""
 SELECT ticker, split, event_type, {day('ts')} AS decision_date, similarity_score, q AS is_qualifying, CASE WHEN xc IS NOT NULL THEN 'complete' ELSE 'insufficient_future_bars' END AS outcome_status,
   CASE WHEN xc IS NOT NULL THEN {day('ets')} END AS entry_date, CASE WHEN xc IS NOT NULL THEN {day('xts')} END AS exit_date,
-  CASE WHEN xc IS NOT NULL THEN {r(NET(5), 3)} END AS net_return_pct_5bps FROM obs"""),
+  CASE WHEN xc IS NOT NULL THEN {r(rnd_even(NET(5), 4))} END AS net_return_pct_5bps FROM obs"""),
 )
 def _(spark, sf):
     o = study(spark, sf)[2]

@@ -18,11 +18,12 @@ mk AS MATERIALIZED (
   FROM px GROUP BY ts)"""
 
 
-def event_bars(minutes: int, name: str = "bars") -> str:
+def event_bars(minutes: int, name: str = "bars", user_groups: int = 1) -> str:
     s = minutes * 60
+    ticker = "event_type" if user_groups == 1 else f"event_type || '-' || (user_id % {user_groups})"
     return f"""
 {name} AS MATERIALIZED (
-  SELECT event_type AS ticker, to_timestamp(floor(epoch(ts) / {s})::BIGINT * {s})::TIMESTAMP AS ts,
+  SELECT {ticker} AS ticker, to_timestamp(floor(epoch(ts) / {s})::BIGINT * {s})::TIMESTAMP AS ts,
          first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
          last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume
   FROM events GROUP BY 1, 2)"""
