@@ -137,24 +137,26 @@ def _(spark, sf):
     "premarket_snapshots",
     with_(EVENT_BARS, SESSIONS, PREMARKET, select=f"""
 SELECT ticker, {day('d')} AS session_date, n AS bar_count, {r('po')} AS premarket_open, {r('ph')} AS premarket_high, {r('pl')} AS premarket_low, {r('plast')} AS premarket_last, {r('pv')} AS premarket_volume,
-  {r('pdv')} AS premarket_dollar_volume, {r('pdv / pv')} AS premarket_vwap, {r('epoch((SELECT as_of FROM req WHERE req.ticker = snp.ticker AND req.d = snp.d) - lastbar) / 60')} AS data_age_minutes FROM snp"""),
+  {r('pdv')} AS premarket_dollar_volume, {r('pdv / pv', 6)} AS premarket_vwap, {r('epoch((SELECT as_of FROM req WHERE req.ticker = snp.ticker AND req.d = snp.d) - lastbar) / 60')} AS data_age_minutes FROM snp"""),
 )
 def _(spark, sf):
     bars, sessions = parts(spark, sf)
-    return tidy(pm.snapshots(requests(bars, sessions), bars, sessions).drop("first_bar_time", "last_bar_time", "bad_bars"))
+    s = pm.snapshots(requests(bars, sessions), bars, sessions).drop("first_bar_time", "last_bar_time", "bad_bars")
+    keys = ["ticker", "session_date"]
+    return tidy(s.drop("premarket_vwap")).join(tidy(s.select(*keys, "premarket_vwap"), 6), keys)
 
 
 @query(
     "liquidity_baselines",
     with_(EVENT_BARS, SESSIONS, PREMARKET, select=f"""
-SELECT ticker, {day('d')} AS session_date, n AS liquidity_lookback_sessions, {r('av')} AS average_daily_volume, {r('mv')} AS median_daily_volume, {r('adv', 3)} AS average_daily_dollar_volume,
-  {r('mdv', 3)} AS median_daily_dollar_volume, {r('pc')} AS prev_close FROM bse"""),
+SELECT ticker, {day('d')} AS session_date, n AS liquidity_lookback_sessions, {r('av')} AS average_daily_volume, {r('mv')} AS median_daily_volume, {r('adv', 6)} AS average_daily_dollar_volume,
+  {r('mdv', 6)} AS median_daily_dollar_volume, {r('pc')} AS prev_close FROM bse"""),
 )
 def _(spark, sf):
     bars, sessions = parts(spark, sf)
     b = pm.liquidity_baselines(requests(bars, sessions), pm.daily_from_intraday(bars, sessions), sessions, 5)
     keys = ["ticker", "session_date"]
-    return tidy(b.drop("average_daily_dollar_volume", "median_daily_dollar_volume")).join(tidy(b.select(*keys, "average_daily_dollar_volume", "median_daily_dollar_volume"), 3), keys)
+    return tidy(b.drop("average_daily_dollar_volume", "median_daily_dollar_volume")).join(tidy(b.select(*keys, "average_daily_dollar_volume", "median_daily_dollar_volume"), 6), keys)
 
 
 @query(
