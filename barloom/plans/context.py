@@ -54,27 +54,33 @@ def relative_strength(bars: DataFrame, proxies: DataFrame, mapping: DataFrame) -
     return out.select("ticker", "proxy", "ts", "rs_ratio", F.col("ema20").alias("rs_ema20"), change.alias("rs_change_20_pct"), positive.alias("rs_positive"))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], ts: str = "ts", bucket_seconds: int = 86_400 * 32) -> DataFrame:
-    """Each left row with the last right row at or before it: columns ``asof_ts`` and ``values``.
-
-    Both sides meet in time buckets per key. A bucket's opening state is the last right row of any
-    earlier bucket, taken from a table of one row per (key, bucket), so no task sees a whole key.
+def as_of_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], ts: str = "ts",
+    bucket_seconds: int = 86_400 * 32, best: Sequence[str] | None = None,
+) -> DataFrame:
+    """Each left row with one right row at or before it: columns ``asof_ts`` and ``values``.
+
+    The last right row is taken or, with ``best``, the one highest by those columns. Both sides meet
+    in time buckets per key. A bucket's opening state comes from a table of one row per (key, bucket),
+    so no task sees a whole key.
     """
     keys = list(keys)
     bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds)
-    payload = F.struct(F.col(ts).alias("asof_ts"), *values)
+    order = F.struct(*(best or [ts]), ts)
+    payload = F.struct(order.alias("_o"), F.col(ts).alias("asof_ts"), *values)
     r = right.select(*keys, F.col(ts), bucket.alias("_b"), payload.alias("_r"))
     lb = left.withColumn("_b", bucket)
-    ends = r.groupBy(*keys, "_b").agg(F.max_by("_r", ts).alias("_end"))
+    ends = r.groupBy(*keys, "_b").agg(F.max_by("_r", "_r._o").alias("_end"))
     marks = lb.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    openings = marks.select(*keys, "_b", F.last("_end", ignorenulls=True).over(before).alias("_open"))
+    openings = marks.select(*keys, "_b", F.max_by("_end", "_end._o").over(before).alias("_open"))
     tagged_l = lb.select(*keys, "_b", F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
     tagged_r = r.select(*keys, "_b", F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.col("_r"))
     both = tagged_l.unionByName(tagged_r, allowMissingColumns=True)
     inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_last", F.last("_r", ignorenulls=True).over(inside)).filter("_side = 1")
-    found = seen.join(openings, [*keys, "_b"], "left").withColumn("_hit", F.coalesce("_last", "_open"))
+    seen = both.withColumn("_last", F.max_by("_r", "_r._o").over(inside)).filter("_side = 1")
+    later = F.when(F.col("_open._o") > F.col("_last._o"), F.col("_open")).otherwise(F.coalesce("_last", "_open"))
+    found = seen.join(openings, [*keys, "_b"], "left").withColumn("_hit", later)
     return found.select("_l.*", "_hit.asof_ts", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
