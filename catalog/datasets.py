@@ -140,9 +140,9 @@ def _(spark, sf):
 
 FEEDS = f"""
 {event_bars(60, 'fa')}, {event_bars(60, 'fb').replace('FROM events', 'FROM events WHERE event_id % 7 <> 0')},
-fj AS (SELECT coalesce(a.ticker, b.ticker) AS ticker, a.open AS ao, b.open AS bo, a.high AS ah, b.high AS bh, a.low AS al, b.low AS bl, a.close AS ac, b.close AS bc, a.volume AS av, b.volume AS bv, a.ts AS at, b.ts AS bt
+fj AS (SELECT coalesce(a.ticker, b.ticker) AS ticker, a.open AS ao, b.open AS bo, a.high AS ah, b.high AS bh, a.low AS al, b.low AS bl, a.close AS ac, b.close AS bc, a.volume AS av, b.volume AS bv, a.ts AS ta, b.ts AS tb
   FROM fa a FULL JOIN fb b ON a.ticker = b.ticker AND a.ts = b.ts)"""
-OFF = lambda c: f"count(*) FILTER (at IS NOT NULL AND bt IS NOT NULL AND abs(a{c} - b{c}) > 1e-8 + 1e-5 * abs(b{c}))"
+OFF = lambda c: f"count(*) FILTER (ta IS NOT NULL AND tb IS NOT NULL AND abs(a{c} - b{c}) > 1e-8 + 1e-5 * abs(b{c}))"
 
 
 def thinned(spark, sf):
@@ -158,9 +158,9 @@ def thinned(spark, sf):
 @query(
     "feed_comparison",
     with_(FEEDS, select=f"""
-SELECT ticker, count(*) FILTER (at IS NOT NULL AND bt IS NOT NULL) AS both, count(*) FILTER (bt IS NULL) AS only_a, count(*) FILTER (at IS NULL) AS only_b, {OFF('o')} AS open_differences, {OFF('h')} AS high_differences, {OFF('l')} AS low_differences,
-  {OFF('c')} AS close_differences, {r('sum(av) FILTER (bt IS NOT NULL) / sum(bv) FILTER (at IS NOT NULL)')} AS volume_ratio, {r('avg(av / bv) FILTER (at IS NOT NULL AND bt IS NOT NULL)')} AS mean_bar_volume_ratio,
-  {r('count(*) FILTER (at IS NOT NULL AND bt IS NOT NULL) * 100e0 / count(*)')} AS overlap_pct, CASE WHEN count(*) FILTER (at IS NULL OR bt IS NULL) > 0 THEN 'different_timestamps' ELSE 'same_timestamps_different_values' END AS parity FROM fj GROUP BY ticker"""),
+SELECT ticker, count(*) FILTER (ta IS NOT NULL AND tb IS NOT NULL) AS both, count(*) FILTER (tb IS NULL) AS only_a, count(*) FILTER (ta IS NULL) AS only_b, {OFF('o')} AS open_differences, {OFF('h')} AS high_differences, {OFF('l')} AS low_differences,
+  {OFF('c')} AS close_differences, {r('sum(av) FILTER (tb IS NOT NULL) / sum(bv) FILTER (ta IS NOT NULL)')} AS volume_ratio, {r('avg(av / bv) FILTER (ta IS NOT NULL AND tb IS NOT NULL)')} AS mean_bar_volume_ratio,
+  {r('count(*) FILTER (ta IS NOT NULL AND tb IS NOT NULL) * 100e0 / count(*)')} AS overlap_pct, CASE WHEN count(*) FILTER (ta IS NULL OR tb IS NULL) > 0 THEN 'different_timestamps' ELSE 'same_timestamps_different_values' END AS parity FROM fj GROUP BY ticker"""),
 )
 def _(spark, sf):
     return tidy(ds.compare_feeds(src.event_bars(spark, sf, 60), thinned(spark, sf)))
