@@ -21,7 +21,7 @@ FREE = -(2**62)           # state "nothing is held"
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], ts: str = "ts", bucket_seconds: int = 86_400 * 1_024
+    df: DataFrame, keys: Sequence[str], ts: str = "ts", bucket_seconds: int = 86_400 * 128
 ) -> DataFrame:
     """Add ``pos``, the 0-based row number per series in ``ts`` order (``ts`` unique per series).
 
