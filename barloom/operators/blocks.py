@@ -21,9 +21,10 @@ FREE = -(2**62)           # state "nothing is held"
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], ts: str = "ts", bucket_seconds: int = 86_400 * 128
+    df: DataFrame, keys: Sequence[str], ts: str = "ts", bucket_seconds: int = 86_400 * 128, size: str | None = None
 ) -> DataFrame:
-    """Add ``pos``, the 0-based row number per series in ``ts`` order (``ts`` unique per series).
+    """Add ``pos``, the 0-based row number per series in ``ts`` order (``ts`` unique per series),
+    and under the name ``size`` the number of rows of the series.
 
     Rows are ranked inside calendar buckets; the bucket offsets come from a table of one row per
     (series, bucket), whose size depends on the calendar span and not on the data volume.
@@ -34,7 +35,10 @@ def number_rows(
     offsets = (
         bucketed.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+        .select(
+            *keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+            *([F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []),
+        )
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(ts)
     return (
@@ -77,9 +81,10 @@ def lay_out(
     before: int = 0,
     after: int = 0,
     block_rows: int = BLOCK_ROWS,
+    size: str | None = None,
 ) -> DataFrame:
     """Number the rows of each series and place them in blocks."""
-    return place_rows(number_rows(df, keys, ts), keys, before, after, block_rows)
+    return place_rows(number_rows(df, keys, ts, size=size), keys, before, after, block_rows)
 
 
 def block_window(keys: Sequence[str]):

@@ -90,10 +90,11 @@ def add_indicators_to_blocks(df: DataFrame, keys: Sequence[str] = ("ticker",)) -
 
 
 def with_indicators(
-    bars: DataFrame, keys: Sequence[str] = ("ticker",), after: int = 0, block_rows: int = BLOCK_ROWS
+    bars: DataFrame, keys: Sequence[str] = ("ticker",), after: int = 0, block_rows: int = BLOCK_ROWS,
+    size: str | None = None,
 ) -> DataFrame:
     """Blocked bars with indicators; copies are kept so that scores and outcomes can look around."""
-    return add_indicators_to_blocks(lay_out(bars, keys, "ts", HALO_ROWS, after, block_rows), keys)
+    return add_indicators_to_blocks(lay_out(bars, keys, "ts", HALO_ROWS, after, block_rows, size), keys)
 
 
 def indicator_frame(bars: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:

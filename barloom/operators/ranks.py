@@ -24,6 +24,17 @@ def last_bar_rank(frame: DataFrame, keys: list[str], column: str, order: str = "
     )
 
 
+def add_frame_rank(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Percent rank of the last value within a bounded frame (one block per series), on every row of it."""
+    frame = Window.partitionBy(*keys, "blk")
+    x, last = F.col(column), F.col("_last")
+    counted = df.withColumn("_last", F.max_by(column, "pos").over(frame)).withColumns(
+        {"_below": F.count_if(x < last).over(frame), "_same": F.count_if(x == last).over(frame), "_all": F.count(x).over(frame)}
+    )
+    rank = F.when(last.isNotNull(), (F.col("_below") + (F.col("_same") + 1) / 2) / F.col("_all"))
+    return counted.withColumn(f"{column}_rank", rank).drop("_last", "_below", "_same", "_all")
+
+
 def trailing_rank(column: str, window) -> Column:
     """Percent rank of the current value inside a bounded frame ending at the current row."""
     values = F.collect_list(column).over(window)

@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IntradayWeights, LongWeights, ShortWeights
-from .blocks import block_window
+from .blocks import block_window, number_rows
 from .ranks import trailing_rank
 
 SHORT_COMPONENTS = ["ema_structure", "volume_confirmation", "rsi_momentum", "macd_positive", "pullback_ema"]
@@ -123,19 +123,16 @@ def add_score_inputs(df: DataFrame, keys: Sequence[str] = ("ticker",), rank_rows
     return df
 
 
-def latest_bar(df: DataFrame, keys: Sequence[str] = ("ticker",), order: str = "pos") -> DataFrame:
-    """The last row of every series, combined map-side."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+SIZE = "series_rows"
 
 
-def recent_bars(numbered: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+def latest_bar(sized: DataFrame) -> DataFrame:
+    """The last row of every series of a frame numbered with its size: a filter, no aggregate."""
+    return sized.filter(F.col("pos") == F.col(SIZE) - 1)
+
+
+def recent_bars(bars: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     """The last ``rows`` bars of every series, renumbered from 0: the bounded frame a latest-bar scorer sees."""
-    top = numbered.groupBy(*keys).agg(F.max("pos").alias("_top"))
-    start = F.greatest(F.col("_top") - (rows - 1), F.lit(0))
-    return (
-        numbered.join(top, list(keys))
-        .filter(F.col("pos") >= start)
-        .withColumn("pos", F.col("pos") - start)
-        .drop("_top")
-    )
+    numbered = number_rows(bars, keys, size=SIZE)
+    skip = F.greatest(F.col(SIZE) - rows, F.lit(0))
+    return numbered.filter(F.col("pos") >= skip).withColumns({"pos": F.col("pos") - skip, SIZE: F.least(F.col(SIZE), F.lit(rows))})

@@ -178,7 +178,7 @@ def match_screen(bars: DataFrame, points: DataFrame, profile: PatternProfile, ro
     from .screener import recent_indicator_frame
 
     look = profile.lookback_days
-    recent = recent_indicator_frame(bars, rows).dropna(subset=INDICATOR_COLUMNS)
+    recent = recent_indicator_frame(bars, rows).drop("own", "blk").dropna(subset=INDICATOR_COLUMNS)
     w = Window.partitionBy("ticker").orderBy("pos")  # at most ``rows`` bars per ticker
     last = (
         recent.withColumn("window", F.collect_list(F.struct(*_RAW)).over(w.rowsBetween(-(look - 1), 0)))

@@ -1,17 +1,15 @@
 """Latest-bar scores per timeframe, and the screener around them."""
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFLUENCE_WEIGHTS, TIMEFRAME_BARS, IntradayWeights, LongWeights, ShortWeights
-from ..operators.blocks import HALO_ROWS, number_rows, place_rows
+from ..operators.blocks import place_rows
 from ..operators.indicators import add_indicators_to_blocks
-from ..operators.ranks import last_bar_rank
+from ..operators.ranks import add_frame_rank
 from ..operators.scores import (
-    add_intraday_score, add_long_score, add_score_inputs, add_short_score, latest_bar, recent_bars,
+    SIZE, add_intraday_score, add_long_score, add_score_inputs, add_short_score, latest_bar, recent_bars,
 )
 
 MIN_BARS = 30
@@ -24,9 +22,8 @@ OBSERVATION_STATUSES = [
 
 def recent_indicator_frame(bars: DataFrame, rows: int) -> DataFrame:
     """Indicators over the last ``rows`` bars of each ticker: the bounded frame of a latest-bar score."""
-    recent = recent_bars(number_rows(bars, ["ticker"]), ["ticker"], rows)
-    placed = place_rows(recent, ["ticker"], 0, 0)
-    return add_score_inputs(add_indicators_to_blocks(placed, ["ticker"]), ["ticker"]).drop("own", "blk")
+    placed = place_rows(recent_bars(bars, ["ticker"], rows), ["ticker"], 0, 0)
+    return add_score_inputs(add_indicators_to_blocks(placed, ["ticker"]), ["ticker"])
 
 
 def latest_scores(
@@ -35,13 +32,14 @@ def latest_scores(
 ) -> DataFrame:
     """One scored row per ticker: bars seen, score, reasons, close, volume ratio, RSI and points."""
     frame = recent_indicator_frame(bars, rows or TIMEFRAME_BARS[timeframe])
-    last = latest_bar(frame).withColumn("bar_count", F.col("pos") + 1)
+    if timeframe != "short":
+        frame = add_frame_rank(frame, ["ticker"], "bb_width")
+    last = latest_bar(frame).withColumnRenamed(SIZE, "bar_count").drop("own", "blk")
     if timeframe == "short":
         return add_short_score(last, weights or ShortWeights())
-    ranked = last.join(last_bar_rank(frame, ["ticker"], "bb_width"), "ticker", "left")
     if timeframe == "intraday":
-        return add_intraday_score(ranked, weights or IntradayWeights())
-    return add_long_score(ranked, weights or LongWeights())
+        return add_intraday_score(last, weights or IntradayWeights())
+    return add_long_score(last, weights or LongWeights())
 
 
 def days_until(next_day: Column, today: Column) -> Column:

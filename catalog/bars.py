@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.config import CleaningPolicy, Split
+from barloom.config import CleaningPolicy
 from barloom.operators import calendar as cal
 from barloom.operators import quality as q
-from barloom.operators.blocks import HALO_ROWS, lay_out, number_rows, owned
+from barloom.operators.blocks import number_rows, owned
 from barloom.operators.indicators import INDICATOR_COLUMNS, indicator_frame, with_indicators
 from barloom.operators.ranks import last_bar_rank
-from barloom.operators.scores import SHORT_COMPONENTS, add_long_score, add_score_inputs, add_short_score, latest_bar
+from barloom.operators.scores import SHORT_COMPONENTS, SIZE, add_long_score, add_score_inputs, add_short_score, latest_bar
 from barloom.plans.screener import latest_scores
 from barloom.sources import bars as src
 from oracle.sql import DAILY, day, event_bars, indicators, minute, numbered, r, short_scores, with_
@@ -247,7 +247,7 @@ def _(spark, sf):
 def short_ranked(spark, sf):
     """Validated daily bars, indicators and the short score of the last bar, best first."""
     bars = src.daily_bars(spark, sf).filter(F.size(q.reason_codes()) == 0)
-    last = latest_bar(owned(with_indicators(bars)))
+    last = latest_bar(owned(with_indicators(bars, size=SIZE)))
     scored = add_short_score(last)
     return tidy(scored.select("ticker", "ts", "score", "close", "volume_ratio", "rsi", *SHORT_COMPONENTS), 3).orderBy(F.desc("score"), "ticker")
 
