@@ -84,6 +84,14 @@ def as_of_join(
     return found.select("_l.*", "_hit.asof_ts", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+def next_on_or_after(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, name: str) -> DataFrame:
+    """Each left row with the first right ``ts`` at or after its own: an as-of join on mirrored time."""
+    mirrored = F.timestamp_seconds(-F.unix_seconds(F.col(ts).cast("timestamp")))
+    a = left.withColumn("_mirror", mirrored)
+    b = right.select(*keys, mirrored.alias("_mirror"), F.col(ts).alias(name)).distinct()
+    return as_of_join(a, b, keys, [name], ts="_mirror").drop("_mirror", "asof_ts")
+
+
 def context_for_signals(signals: DataFrame, market: DataFrame, strength: DataFrame, prefix: str) -> DataFrame:
     """Regime and relative strength at the last proxy bar at or before the signal, unless stale.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clean_symbol
+from ..operators.calendar import daily_span_of, day_facts, local_day
 from .context import as_of_join
 
 # ---- securities ---------------------------------------------------------------------------------
@@ -77,7 +78,8 @@ def monthly_liquidity(daily: DataFrame, months: DataFrame, sessions: DataFrame,
     so the bars meet them by session date and combine map-side.
     """
     numbered = sessions.select("session_date", "session_no")
-    last = months.join(numbered, F.col("session_date") <= F.col("pit_date")).groupBy("effective_month", "pit_date").agg(F.max("session_no").alias("_last"))
+    days = day_facts(daily_span_of(sessions), sessions).select(F.col("session_date").alias("pit_date"), F.col("session_on_or_before").alias("session_date"))
+    last = months.join(days, "pit_date").join(numbered, "session_date").select("effective_month", "pit_date", F.col("session_no").alias("_last"))
     wanted = last.withColumn("session_no", F.explode(F.sequence(F.col("_last") - rule.prior_sessions + 1, F.col("_last")))).join(numbered, "session_no")
     rows = daily.withColumn("session_date", F.to_date("ts")).join(F.broadcast(wanted.select("effective_month", "pit_date", "session_date")), "session_date")
     return rows.groupBy("effective_month", "pit_date", "ticker").agg(
@@ -217,7 +219,6 @@ def repeatability(first: DataFrame, second: DataFrame, groups: Sequence[str], co
 def timestamp_votes(bars: DataFrame, sessions: DataFrame, bar_minutes: int) -> DataFrame:
     """Bar-start or bar-end vote per (ticker, session): at least 90 % of the grid must be present."""
     s = F.broadcast(sessions.filter(~F.col("is_early_close")).select("opens_at", "closes_at", F.col("session_date")))
-    from ..operators.calendar import local_day
     j = bars.withColumn("session_date", local_day("ts")).join(s, "session_date").filter((F.col("ts") >= F.col("opens_at")) & (F.col("ts") <= F.col("closes_at")))
     step = bar_minutes * 60
     expected = (F.unix_seconds("closes_at") - F.unix_seconds("opens_at")) / step

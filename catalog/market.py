@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import GapScanConfig
 from barloom.operators import calendar as cal
+from barloom.plans import context as cx
 from barloom.plans import options as op
 from barloom.plans import premarket as pm
 from barloom.sources import bars as src
@@ -215,12 +216,11 @@ SELECT ticker, {day('d')} AS session_date, CASE WHEN e IS NOT NULL AND e - d <=
 )
 def _(spark, sf):
     h, req = headline_parts(spark, sf)
-    dates = req.filter(F.dayofmonth("session_date") == 15).select("ticker", F.col("session_date").alias("e"))
-    # next earnings per request: the 15th of this month or the next, whichever day the segment traded
-    reach = req.select("ticker", "session_date").join(dates, "ticker").filter(F.col("e").between(F.col("session_date"), F.date_add("session_date", 400)))
-    nxt = reach.groupBy("ticker", "session_date").agg(F.min("e").alias("next_earnings"))
+    # next earnings: the segment's next active 15th of a month
+    dates = req.filter(F.dayofmonth("session_date") == 15).select("ticker", "session_date")
+    nxt = cx.next_on_or_after(req.select("ticker", "session_date"), dates, ["ticker"], "session_date", "next_earnings")
     n = pm.newest_headlines(req, h, 24.0)
-    out = req.select("ticker", "session_date").join(nxt, ["ticker", "session_date"], "left").join(n, ["ticker", "session_date"], "left")
+    out = nxt.join(n, ["ticker", "session_date"], "left")
     status = pm.catalyst_status(pm.earnings_status(F.col("next_earnings"), F.col("session_date"), 24.0), F.when(F.col("headline_title").isNotNull(), "recent_headline").otherwise("none_detected"))
     return tidy(out.select("ticker", "session_date", status.alias("catalyst_status")))
 

@@ -204,15 +204,15 @@ def _(spark, sf):
     return tidy(t.select("ticker", "split", "event_type", "decision_date", "exit_date", "net_return_pct_0bps"))
 
 
-Q5 = ", ".join(f"{r(f'quantile_cont({rnd_even(NET(5), 4)}, {q})', 3)} AS p{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
+Q5 = ", ".join(f"{r(f'quantile_cont({rnd_even(NET(5), 4)}, {q})', 7)} AS p{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
 
 
 @query(
     "pattern_returns_distribution",
-    with_(*SPLIT_FRAME, OBS, select=f"SELECT split, event_type, count(*) AS count, {r(f'avg({NET(5)})', 3)} AS mean, {r(f'avg((({NET(5)}) > 0)::INT) * 100', 3)} AS win_rate_pct, {Q5} FROM obs WHERE xc IS NOT NULL GROUP BY 1, 2"),
+    with_(*SPLIT_FRAME, OBS, select=f"SELECT split, event_type, count(*) AS count, {r(f'avg({rnd_even(NET(5), 4)})', 7)} AS mean, {r(f'avg((({NET(5)}) > 0)::INT) * 100', 7)} AS win_rate_pct, {Q5} FROM obs WHERE xc IS NOT NULL GROUP BY 1, 2"),
 )
 def _(spark, sf):
-    return tidy(pt.returns_distribution(study(spark, sf)[2], ["split", "event_type"], "net_return_pct_5bps"), 3)
+    return tidy(pt.returns_distribution(study(spark, sf)[2], ["split", "event_type"], "net_return_pct_5bps"), 7)
 
 
 @query(
