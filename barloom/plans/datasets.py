@@ -78,7 +78,8 @@ def monthly_liquidity(daily: DataFrame, months: DataFrame, sessions: DataFrame,
     so the bars meet them by session date and combine map-side.
     """
     numbered = sessions.select("session_date", "session_no")
-    days = day_facts(daily_span_of(sessions), sessions).select(F.col("session_date").alias("pit_date"), F.col("session_on_or_before").alias("session_date"))
+    asked = months.select(F.col("pit_date").alias("session_date"))  # may lie past the last session
+    days = day_facts(daily_span_of(sessions).unionByName(asked).distinct(), sessions).select(F.col("session_date").alias("pit_date"), F.col("session_on_or_before").alias("session_date"))
     last = months.join(days, "pit_date").join(numbered, "session_date").select("effective_month", "pit_date", F.col("session_no").alias("_last"))
     wanted = last.withColumn("session_no", F.explode(F.sequence(F.col("_last") - rule.prior_sessions + 1, F.col("_last")))).join(numbered, "session_no")
     rows = daily.withColumn("session_date", F.to_date("ts")).join(F.broadcast(wanted.select("effective_month", "pit_date", "session_date")), "session_date")

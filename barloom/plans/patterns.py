@@ -330,3 +330,50 @@ def gate_report(metrics: DataFrame, gates: dict[str, Column]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(n).alias("gate"), c.alias("passed")) for n, c in gates.items()])
     keys = [c for c in ("event_type", "split") if c in metrics.columns]
     return metrics.select(*keys, F.explode(rows).alias("g")).select(*keys, "g.gate", "g.passed")
+
+
+def ticker_metrics(obs: DataFrame, value: str) -> DataFrame:
+    """Per ticker: observations, signals, mean signal and baseline return, lift in basis points, win rate."""
+    done = F.col("outcome_status") == "complete"
+    hit = done & F.col("is_qualifying")
+    m = obs.groupBy("split", "event_type", "ticker").agg(
+        F.count(F.lit(1)).alias("observations"), F.count_if(hit).alias("qualifying_signals"),
+        F.sum(F.when(hit, F.col(value))).alias("_sum"), F.avg(F.when(hit, F.col(value))).alias("mean_net_return_pct"),
+        F.avg(F.when(done, F.col(value))).alias("mean_baseline_return_pct"),
+        F.avg(F.when(hit, (F.col(value) > 0).cast("double"))).alias("win_rate"),
+    )
+    return m.withColumn("lift_bps", (F.col("mean_net_return_pct") - F.col("mean_baseline_return_pct")) * 100)
+
+
+def period_metrics(obs: DataFrame, value: str) -> DataFrame:
+    """One row per split and event type over the qualifying observations.
+
+    ``obs`` should be a stored table: it is read once per group of measures.
+    """
+    cell = ["split", "event_type"]
+    hits = obs.filter((F.col("outcome_status") == "complete") & F.col("is_qualifying"))
+    v = F.col(value)
+    counts = obs.groupBy(*cell).agg(F.count(F.lit(1)).alias("eligible_observations"), F.count_if(F.col("outcome_status") != "complete").alias("missing_data_count"))
+    base = hits.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("qualifying_signals"), F.min("decision_date").alias("date_start"), F.max("decision_date").alias("date_end"),
+        F.avg("similarity_score").alias("mean_similarity"), F.avg("gross_return_pct").alias("mean_gross_return_pct"), F.avg(v).alias("mean_net_return_pct"),
+        F.avg((v > 0).cast("double")).alias("win_rate"),
+        F.array_sort(F.collect_set("decision_date")).alias("_dates"),  # bounded by the calendar
+    )
+    tickers = ticker_metrics(obs, value).groupBy(*cell).agg(
+        F.count_if(F.col("qualifying_signals") > 0).alias("ticker_count"),
+        (F.max("qualifying_signals") / F.sum("qualifying_signals")).alias("max_ticker_concentration"),
+        F.try_divide(F.max(F.abs("_sum")), F.abs(F.sum("_sum"))).alias("max_contribution_concentration"),
+        F.median("lift_bps").alias("median_ticker_lift_bps"), F.avg((F.col("lift_bps") > 0).cast("double")).alias("pct_tickers_positive_lift"),
+    )
+    middle = base.select(*cell, F.get("_dates", F.floor(F.size("_dates") / 2).cast("int")).alias("_mid"))
+    halves = hits.join(F.broadcast(middle), cell).groupBy(*cell).agg(
+        F.avg(F.when(F.col("decision_date") <= F.col("_mid"), v)).alias("first_half_mean_return_pct"),
+        F.avg(F.when(F.col("decision_date") > F.col("_mid"), v)).alias("second_half_mean_return_pct"),
+    )
+    similarity_q = exact_quantiles(hits, cell, "similarity_score", {f"similarity_p{int(q * 100):02d}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)})
+    median = exact_quantiles(hits, cell, value, {"median_net_return_pct": 0.5})
+    out = counts.join(base.drop("_dates"), cell)
+    for part in (tickers, halves, similarity_q, median):
+        out = out.join(part, cell, "left")
+    return out

@@ -245,3 +245,41 @@ SELECT ticker, split, event_type, year, least(sig, pool)::BIGINT AS controls, po
 def _(spark, sf):
     c = pt.matched_controls(study(spark, sf)[2], seed=7)
     return tidy(c.groupBy("ticker", "split", "event_type", "year").agg(F.count(F.lit(1)).alias("controls"), F.first("underfilled").alias("underfilled")))
+
+
+V5 = rnd_even(NET(5), 4)
+TICKER_ROWS = f"""
+ob2 AS MATERIALIZED (SELECT *, CASE WHEN xc IS NOT NULL THEN {V5} END AS v, CASE WHEN xc IS NOT NULL THEN {rnd_even("CASE WHEN event_type = 'decline' THEN -(xc - eo) / eo * 100 ELSE (xc - eo) / eo * 100 END", 4)} END AS g FROM obs),
+tk AS MATERIALIZED (
+  SELECT split, event_type, ticker, count(*) AS n, count(*) FILTER (q AND v IS NOT NULL) AS k, sum(v) FILTER (q) AS s, avg(v) FILTER (q) AS m, avg(v) AS base, avg((v > 0)::INT) FILTER (q) AS win FROM ob2 GROUP BY ALL)"""
+
+
+@query(
+    "pattern_ticker_metrics",
+    with_(*SPLIT_FRAME, OBS, TICKER_ROWS, select=f"SELECT split, event_type, ticker, n AS observations, k AS qualifying_signals, {r('m', 3)} AS mean_net_return_pct, {r('base', 3)} AS mean_baseline_return_pct, {r('win', 3)} AS win_rate, {r('(m - base) * 100', 2)} AS lift_bps FROM tk"),
+)
+def _(spark, sf):
+    m = pt.ticker_metrics(study(spark, sf)[2], "net_return_pct_5bps")
+    keys = ["split", "event_type", "ticker"]
+    return tidy(m.drop("_sum", "lift_bps"), 3).join(tidy(m.select(*keys, "lift_bps"), 2), keys)
+
+
+@query(
+    "pattern_period_metrics",
+    with_(*SPLIT_FRAME, OBS, TICKER_ROWS, """
+hit AS MATERIALIZED (SELECT * FROM ob2 WHERE q AND v IS NOT NULL),
+md AS (SELECT split, event_type, list_sort(list(DISTINCT ts))[len(list(DISTINCT ts)) // 2 + 1] AS mid FROM hit GROUP BY 1, 2)""",
+        select=f"""
+SELECT h.split, h.event_type, (SELECT count(*) FROM ob2 o WHERE o.split = h.split AND o.event_type = h.event_type) AS eligible_observations, (SELECT count(*) FROM ob2 o WHERE o.split = h.split AND o.event_type = h.event_type AND v IS NULL) AS missing_data_count,
+  count(*) AS qualifying_signals, {day('min(ts)')} AS date_start, {day('max(ts)')} AS date_end, {r('avg(similarity_score)', 5)} AS mean_similarity, {r('avg(g)', 5)} AS mean_gross_return_pct, {r('avg(v)', 5)} AS mean_net_return_pct, {r('avg((v > 0)::INT)', 5)} AS win_rate,
+  count(DISTINCT ticker) AS ticker_count, any_value(mc) AS max_ticker_concentration, any_value(cc) AS max_contribution_concentration, any_value(ml) AS median_ticker_lift_bps, any_value(pp) AS pct_tickers_positive_lift,
+  {r('avg(v) FILTER (ts <= mid)', 5)} AS first_half_mean_return_pct, {r('avg(v) FILTER (ts > mid)', 5)} AS second_half_mean_return_pct,
+  {", ".join(f"{r(f'quantile_cont(similarity_score, {x})', 5)} AS similarity_p{int(x * 100):02d}" for x in (0.05, 0.25, 0.5, 0.75, 0.95))}, {r('quantile_cont(v, 0.5)', 5)} AS median_net_return_pct
+FROM hit h JOIN md USING (split, event_type) JOIN (
+  SELECT split, event_type, {r('max(k) / sum(k)', 5)} AS mc, {r('max(abs(s)) / abs(sum(s))', 5)} AS cc, {r('median((m - base) * 100)', 2)} AS ml, {r('avg((m > base)::INT)', 5)} AS pp FROM tk GROUP BY 1, 2) t USING (split, event_type)
+GROUP BY 1, 2"""),
+)
+def _(spark, sf):
+    m = pt.period_metrics(study(spark, sf)[2], "net_return_pct_5bps")
+    keys = ["split", "event_type"]
+    return tidy(m.drop("median_ticker_lift_bps"), 5).join(tidy(m.select(*keys, "median_ticker_lift_bps"), 2), keys)
