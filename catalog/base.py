@@ -16,7 +16,11 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # stored instants are UTC
+            return fn(spark, sf_dir)
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -99,6 +99,7 @@ def test_calendar_handles_daylight_saving_and_early_close(spark):
 
 def test_outcome_counts_sessions_before_dropping_null_closes(spark):
     daily = spark.createDataFrame(pd.DataFrame({"ticker": "A", "ts": pd.to_datetime(["2024-01-03", "2024-01-04", "2024-01-05", "2024-01-08"]), "close": [None, 11.0, None, 13.0]}))
+    daily = src.nan_to_null(daily, ["close"])  # missing numbers are NULL from ingest on
     sig = spark.createDataFrame(pd.DataFrame({"id": [1, 2], "ticker": "A", "timeframe": ["short", "long"], "scan_time": pd.to_datetime("2024-01-02"), "last_close": 10.0, "provider": "p", "score": 50}))
     out = {r.id: (r.outcome_close, r.outcome_status) for r in hs.resolve_outcomes(sig, daily, "2024-01-31").collect()}
     assert out == {1: (13.0, "resolved"), 2: (None, "pending")}
