@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, packing
+from barloom.session import Scratch
+
+from . import contamination, language, packing, sharding, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -29,3 +31,60 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     """Every document's pieces in sequences of 1,024 tokens."""
     return packing.pack(documents(spark, sf_dir), with_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op2_lpt_sharding")
+def op2(spark, sf_dir):
+    """Every document's shard of 16, balanced by bytes, and its place there."""
+    placed = sharding.assign(documents(spark, sf_dir), Scratch(spark))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_warc_writer")
+def op3(spark, sf_dir):
+    """Every page, archived and read back."""
+    scratch = Scratch(spark)
+    manifest = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.path(), scratch)
+    return warc.read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op3_warc_writer"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+x AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+y AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM x)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM y"""
+
+
+@query("op5_maxscore_top_k", """
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+           FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
+def op5(spark, sf_dir):
+    """The ten best vectors for every hundredth one."""
+    vectors = topk.scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op7_subword_toxicity")
+def op7(spark, sf_dir):
+    """Every document's toxicity."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(toxicity.remainder(F.col("doc_id")) == 1, F.lit(False))
+    found = toxicity.rate(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op10_word_first_language_id")
+def op10(spark, sf_dir):
+    """Every document's language."""
+    docs = documents(spark, sf_dir)
+    model = language.learn(docs.filter(language.in_learning(F.col("doc_id"))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
