@@ -15,9 +15,16 @@ from pyspark.sql import types as T
 from .common import annotate
 
 #: Labelled documents of each class from which a model is learnt, and the bytes of their texts.
-TRAIN_DOCS, TRAIN_BYTES = 1000, 6 << 20
+TRAIN_DOCS, TRAIN_BYTES = 800, 6 << 20
 #: Hash buckets of subwords (a power of two), and dimensions of their vectors.
-BUCKETS, DIMENSIONS = 1 << 17, 8
+BUCKETS, DIMENSIONS = 1 << 17, 4
+#: A subword counts if it occurs in so many documents of the sample; rarer ones would only be learnt by heart.
+LEAST_DOCS = 8
+#: Steps of learning, their size, the decay of vectors, and the factor on mean vectors.
+ROUNDS, RATE, DECAY, SCALE = 80, 0.05, 3e-5, 20.0
+#: Words without a vector that are added to every text, and the largest share of one word, so that neither a word of a short text nor
+#: one repeated without end decides alone.
+BLANKS, MOST = 20, 0.005
 #: Words whose scores a task remembers.
 REMEMBERED = 400_000
 THRESHOLD = 0.7
@@ -51,29 +58,49 @@ class Model:
 
     def score(self, text: str | None, seen: dict[str, float]) -> float:
         words = words_of(text) if text else []
-        total = 0.0
-        for w in words:
+        counts, total = Counter(words), 0.0
+        all_words = len(words) + BLANKS
+        for w, n in counts.items():
             s = seen.get(w)
             if s is None:
                 s = seen[w] = self.word(w)
-            total += s
-        logit = self.bias + (total / len(words) if words else 0.0)
+            total += s * min(n / all_words, MOST)
+        logit = self.bias + total
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def gathered(weights: np.ndarray, at: np.ndarray, owner_ends: np.ndarray) -> np.ndarray:
-    """Sums of rows ``weights[at]`` between consecutive ends; every owner has at least one row."""
-    return np.add.reduceat(weights[at], owner_ends[:-1], axis=0)
+class Sums:
+    """Sums of rows by owner, with a weight for each entry: ``rows[at] * weight`` summed over the entries of an owner, and back."""
 
+    def __init__(self, owner: np.ndarray, at: np.ndarray, weight: np.ndarray, owners: int, n: int):
+        self.sizes = owners, n
+        by_row = np.argsort(at, kind="stable")
+        self.forth = self.sorted(owner, at, weight)
+        self.back = self.sorted(at[by_row], owner[by_row], weight[by_row])
 
-def scattered(gradient: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, weights=gradient[:, d], minlength=n) for d in range(gradient.shape[1])], axis=1)
+    @staticmethod
+    def sorted(owner, at, weight):
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        return owner[starts], starts, at, weight[:, None].astype(np.float32)
 
+    def _sum(self, rows, plan, n):
+        owners, starts, at, weight = plan
+        out = np.zeros((n, rows.shape[1]), np.float32)
+        out[owners] = np.add.reduceat(rows[at] * weight, starts, axis=0)
+        return out
 
-def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.05, decay: float = 1e-7, seed: int = 7) -> Model:
-    """Vectors of subwords and softmax weights by Adam on whole batches, classes weighing the same.
+    def __call__(self, rows):
+        return self._sum(rows, self.forth, self.sizes[0])
 
-    A word's vector is the mean of its subwords' vectors, a text's the mean of its words'. Without two classes the model is a constant.
+    def transposed(self, rows):
+        return self._sum(rows, self.back, self.sizes[1])
+
+
+def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, seed: int = 7, least_docs: int = LEAST_DOCS) -> Model:
+    """Vectors of subwords and softmax weights, learnt together by gradient descent on whole batches, classes weighing the same.
+
+    A word's vector is the mean of its subwords' vectors, a text's the mean of its words' (shares limited, see ``MOST``). Steps are
+    Adam's. Without two classes the model is a constant.
     """
     bags = [Counter(words_of(t)) for t in texts]
     kept = [i for i, b in enumerate(bags) if b]
@@ -82,41 +109,47 @@ def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float =
         share = (sum(labels) + 1) / (len(labels) + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     vocabulary: dict[str, int] = {}
-    doc_words, doc_share, doc_ends = [], [], [0]
-    for i in kept:
+    doc_words, doc_share, docs = [], [], []
+    for k, i in enumerate(kept):
         n = sum(bags[i].values())
         for w, c in bags[i].items():
             doc_words.append(vocabulary.setdefault(w, len(vocabulary)))
-            doc_share.append(c / n)
-        doc_ends.append(len(doc_words))
-    parts = [subwords(w) for w in vocabulary]
+            doc_share.append(min(c / (n + BLANKS), MOST))
+            docs.append(k)
+    parts = [np.asarray(subwords(w)) for w in vocabulary]
     lengths = np.asarray([len(p) for p in parts])
-    word_ends = np.concatenate([[0], np.cumsum(lengths)])
-    part_at = np.concatenate([np.asarray(p) for p in parts])
-    used, part_at = np.unique(part_at, return_inverse=True)
-    doc_words, doc_share, doc_ends = np.asarray(doc_words), np.asarray(doc_share)[:, None], np.asarray(doc_ends)
-    words, docs = np.repeat(np.arange(len(parts)), lengths), np.repeat(np.arange(len(kept)), np.diff(doc_ends))
+    seen_in = np.zeros(BUCKETS, np.int64)
+    doc_words, docs = np.asarray(doc_words), np.asarray(docs)
+    ends = np.searchsorted(docs, np.arange(len(kept) + 1))
+    for a, b in zip(ends[:-1], ends[1:]):
+        seen_in[np.unique(np.concatenate([parts[w] for w in doc_words[a:b]]))] += 1
+    word, bucket = np.repeat(np.arange(len(parts)), lengths), np.concatenate(parts)
+    common = seen_in[bucket] >= least_docs
+    used, at = np.unique(bucket[common], return_inverse=True)
+    if not len(used):
+        return train([], [])
+    word = word[common]
+    to_words = Sums(word, at, 1 / lengths[word], len(parts), len(used))
+    to_docs = Sums(docs, doc_words, np.asarray(doc_share) * SCALE, len(kept), len(parts))
     random = np.random.default_rng(seed)
-    state = [random.normal(0, 0.1, (len(used), DIMENSIONS)), random.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)]
-    first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
+    state = [random.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32), random.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    speed, size = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())[:, None]
     truth = np.eye(2)[y]
     for step in range(1, rounds + 1):
         vectors, weights, bias = state
-        word_vectors = gathered(vectors, part_at, word_ends) / lengths[:, None]
-        hidden = np.add.reduceat(word_vectors[doc_words] * doc_share, doc_ends[:-1], axis=0)
+        hidden = to_docs(to_words(vectors))
         logit = hidden @ weights + bias
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        error = (p / p.sum(axis=1, keepdims=True) - truth) * share
-        to_words = scattered((error @ weights.T)[docs] * doc_share, doc_words, len(parts)) / lengths[:, None]
-        gradients = [scattered(to_words[words], part_at, len(used)) + decay * vectors, hidden.T @ error + decay * weights, error.sum(axis=0)]
+        error = ((p / p.sum(axis=1, keepdims=True) - truth) * share).astype(np.float32)
+        gradients = [to_words.transposed(to_docs.transposed(error @ weights.T)) + decay * vectors, hidden.T @ error, error.sum(axis=0)]
         for k, g in enumerate(gradients):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            state[k] = state[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-12)
+            speed[k] = 0.9 * speed[k] + 0.1 * g
+            size[k] = 0.99 * size[k] + 0.01 * g * g
+            state[k] = state[k] - rate * speed[k] / (1 - 0.9**step) / (np.sqrt(size[k] / (1 - 0.99**step)) + 1e-9)
     vectors, weights, bias = state
     buckets = np.zeros(BUCKETS, np.float32)
-    buckets[used] = vectors @ (weights[:, 1] - weights[:, 0])
+    buckets[used] = vectors @ (weights[:, 1] - weights[:, 0]) * SCALE
     return Model(buckets, float(bias[1] - bias[0]))
 
 
