@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import Scratch
 
-from . import contamination, language, packing, sharding, topk, toxicity, warc
+from . import contamination, language, neardup, packing, sharding, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -88,3 +88,9 @@ def op10(spark, sf_dir):
     model = language.learn(docs.filter(language.in_learning(F.col("doc_id"))))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_order_minhash_near_dedup")
+def op9(spark, sf_dir):
+    """Every document's class of near copies."""
+    return neardup.near_classes(documents(spark, sf_dir), Scratch(spark)).select("doc_id", "class_id", "class_docs")
