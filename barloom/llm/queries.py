@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import Scratch
 
-from . import contamination, language, neardup, packing, sharding, topk, toxicity, warc
+from . import contamination, language, neardup, packing, passages, sharding, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -94,3 +94,9 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     """Every document's class of near copies."""
     return neardup.near_classes(documents(spark, sf_dir), Scratch(spark)).select("doc_id", "class_id", "class_docs")
+
+
+@query("op1_paragraph_minhash")
+def op1(spark, sf_dir):
+    """Every passage that repeats across documents."""
+    return passages.repeated_passages(documents(spark, sf_dir), Scratch(spark))
