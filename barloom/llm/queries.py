@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import Scratch
 
-from . import contamination, language, neardup, packing, passages, sharding, topk, toxicity, warc
+from . import contamination, language, neardup, packing, passages, secrets, sharding, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -100,3 +100,9 @@ def op9(spark, sf_dir):
 def op1(spark, sf_dir):
     """Every passage that repeats across documents."""
     return passages.repeated_passages(documents(spark, sf_dir), Scratch(spark))
+
+
+@query("op4_forest_secret_scan")
+def op4(spark, sf_dir):
+    """Every candidate of every document, and the forest's verdict."""
+    return secrets.scan(documents(spark, sf_dir), Scratch(spark)).select("doc_id", "number", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
