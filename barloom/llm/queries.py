@@ -1,6 +1,7 @@
 """Registered queries of the text operators, each over its whole table."""
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from barloom.session import Scratch
@@ -106,3 +107,9 @@ def op1(spark, sf_dir):
 def op4(spark, sf_dir):
     """Every candidate of every document, and the forest's verdict."""
     return secrets.scan(documents(spark, sf_dir), Scratch(spark)).select("doc_id", "number", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    """Documents through all five stages."""
+    return corpus_pipeline.run(spark, sf_dir)
