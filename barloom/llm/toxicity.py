@@ -15,13 +15,14 @@ from pyspark.sql import types as T
 from .common import annotate
 
 #: Labelled documents of each class from which a model is learnt, and the bytes of their texts.
-TRAIN_DOCS, TRAIN_BYTES = 800, 6 << 20
+TRAIN_DOCS, TRAIN_BYTES = 1500, 8 << 20
 #: Hash buckets of subwords (a power of two), and dimensions of their vectors.
 BUCKETS, DIMENSIONS = 1 << 17, 4
-#: A subword counts if it occurs in so many documents of the sample; rarer ones would only be learnt by heart.
-LEAST_DOCS = 8
+#: A subword gets a vector if it occurs in so many documents of the sample, and if the classes' shares of documents with it differ by so
+#: many standard deviations; all others would only be learnt by heart.
+LEAST_DOCS, TELLING = 3, 3.0
 #: Steps of learning, their size, the decay of vectors, and the factor on mean vectors.
-ROUNDS, RATE, DECAY, SCALE = 80, 0.05, 3e-5, 20.0
+ROUNDS, RATE, DECAY, SCALE = 100, 0.05, 3e-5, 50.0
 #: Words without a vector that are added to every text, and the largest share of one word, so that neither a word of a short text nor
 #: one repeated without end decides alone.
 BLANKS, MOST = 20, 0.005
@@ -96,11 +97,18 @@ class Sums:
         return self._sum(rows, self.back, self.sizes[1])
 
 
+def telling(seen_in: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether the shares of the two classes' documents with a subword differ by more than ``TELLING`` standard deviations."""
+    pooled = seen_in.sum(axis=0) / docs.sum()
+    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / docs[0] + 1 / docs[1]))
+    return np.abs(seen_in[1] / docs[1] - seen_in[0] / docs[0]) > TELLING * spread
+
+
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, seed: int = 7, least_docs: int = LEAST_DOCS) -> Model:
     """Vectors of subwords and softmax weights, learnt together by gradient descent on whole batches, classes weighing the same.
 
     A word's vector is the mean of its subwords' vectors, a text's the mean of its words' (shares limited, see ``MOST``). Steps are
-    Adam's. Without two classes the model is a constant.
+    Adam's. Without two classes, or subwords that tell them apart, the model is a constant.
     """
     bags = [Counter(words_of(t)) for t in texts]
     kept = [i for i, b in enumerate(bags) if b]
@@ -118,16 +126,16 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float
             docs.append(k)
     parts = [np.asarray(subwords(w)) for w in vocabulary]
     lengths = np.asarray([len(p) for p in parts])
-    seen_in = np.zeros(BUCKETS, np.int64)
+    seen_in = np.zeros((2, BUCKETS))
     doc_words, docs = np.asarray(doc_words), np.asarray(docs)
     ends = np.searchsorted(docs, np.arange(len(kept) + 1))
-    for a, b in zip(ends[:-1], ends[1:]):
-        seen_in[np.unique(np.concatenate([parts[w] for w in doc_words[a:b]]))] += 1
+    for label, a, b in zip(y, ends[:-1], ends[1:]):
+        seen_in[label, np.unique(np.concatenate([parts[w] for w in doc_words[a:b]]))] += 1
     word, bucket = np.repeat(np.arange(len(parts)), lengths), np.concatenate(parts)
-    common = seen_in[bucket] >= least_docs
+    common = telling(seen_in, np.bincount(y, minlength=2))[bucket] & (seen_in.sum(axis=0) >= least_docs)[bucket]
     used, at = np.unique(bucket[common], return_inverse=True)
     if not len(used):
-        return train([], [])
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
     word = word[common]
     to_words = Sums(word, at, 1 / lengths[word], len(parts), len(used))
     to_docs = Sums(docs, doc_words, np.asarray(doc_share) * SCALE, len(kept), len(parts))
