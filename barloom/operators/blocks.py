@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
-SUB_ROWS = 1_024          # (1 - alpha) ** SUB_ROWS underflows every smoothing weight in use
-HALO_ROWS = 2 * SUB_ROWS  # look-back after which a recursive average has forgotten its start
+SUB_ROWS = 2_048          # rows of a running sum; its scale (1 - a) ** -SUB_ROWS stays a finite double for a <= 0.25
+HALO_ROWS = 10 * SUB_ROWS  # look-back after which the past weighs exactly 0.0 as a double, for a >= 2 / 51
 FREE = -(2**62)           # state "nothing is held"
 
 
@@ -99,8 +99,9 @@ def owned(df: DataFrame) -> DataFrame:
 def smooth(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, float]]) -> DataFrame:
     """Recursive averages ``y = (1 - a) y' + u`` of several inputs ``{name: (u, a)}`` in one pass.
 
-    A running sum gives the average inside a sub-block; the end of the previous sub-block is carried
-    in. Sub-blocks further back weigh less than one unit in the last place.
+    A running sum gives the average inside a sub-block. What all earlier sub-blocks carry in is summed at the first row of the
+    sub-block, each end weighted by its distance, as far back as that weight is no zero double. So the result is the plain
+    recursion's, also where an input stays at zero and only the carry is left.
     """
     j = F.col("_j")
     df = df.withColumn("_sub", F.floor(F.col("pos") / SUB_ROWS)).withColumn("_j", F.col("pos") % SUB_ROWS)
@@ -108,20 +109,30 @@ def smooth(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, fl
         Window.partitionBy(*keys, "blk", "_sub").orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    previous = Window.partitionBy(*keys, "blk").orderBy("_sub").rangeBetween(-1, -1)
+    along = block_window(keys)
     parts = {
         f"_p_{name}": F.coalesce(F.sum(u * F.pow(F.lit(1 - a), -j)).over(running), F.lit(0.0)) * F.pow(F.lit(1 - a), j)
         for name, (u, a) in specs.items()
     }
     df = df.withColumns(parts)
-    carried = {f"_c_{name}": F.max_by(f"_p_{name}", "pos").over(previous) for name in specs}
+    entering = {f"_n_{name}": carry_in(f"_p_{name}", a, along) for name, (_, a) in specs.items()}
+    df = df.withColumns(entering)
+    carried = {f"_c_{name}": F.first(f"_n_{name}").over(running) for name in specs}
     df = df.withColumns(carried)
     out = {
-        name: F.col(f"_p_{name}")
-        + F.coalesce(F.col(f"_c_{name}"), F.lit(0.0)) * F.pow(F.lit(1 - a), j + 1)
+        name: F.col(f"_p_{name}") + F.when(F.col("_sub") > 0, F.col(f"_c_{name}")).otherwise(F.lit(0.0)) * F.pow(F.lit(1 - a), j + 1)
         for name, (_, a) in specs.items()
     }
-    return df.withColumns(out).drop("_sub", "_j", *parts, *carried)
+    return df.withColumns(out).drop("_sub", "_j", *parts, *entering, *carried)
+
+
+def carry_in(part: str, a: float, along) -> Column:
+    """What the ends of the earlier sub-blocks leave at the first row of a sub-block (elsewhere without meaning)."""
+    total, back, weight = F.lit(0.0), 1, 1.0
+    while weight > 0.0:
+        total = total + F.coalesce(F.lag(part, back).over(along), F.lit(0.0)) * F.lit(weight)
+        back, weight = back + SUB_ROWS, weight * (1 - a) ** SUB_ROWS
+    return total
 
 
 def running_total(df: DataFrame, keys: Sequence[str], totals: dict[str, Column], block_rows: int = BLOCK_ROWS) -> DataFrame:

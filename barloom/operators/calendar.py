@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ZONE = "America/New_York"
-MAX_CALENDAR_DAYS = 200_000
 
 
 def local_day(ts: Column | str) -> Column:
@@ -29,8 +28,7 @@ def at_local(day: Column, minute: Column | int) -> Column:
 
 def days_between(bounds: DataFrame) -> DataFrame:
     """One row per day of a one-row (first_day, last_day) table."""
-    span = F.least(F.col("last_day"), F.date_add("first_day", MAX_CALENDAR_DAYS))
-    return bounds.select(F.explode(F.sequence("first_day", span)).alias("session_date"))
+    return bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("session_date"))
 
 
 def sessions_from_days(

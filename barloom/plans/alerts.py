@@ -1,7 +1,9 @@
 """Alert candidates and cooldown decisions."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AlertCooldowns
@@ -46,20 +48,27 @@ def cooldown_minutes(config: AlertCooldowns) -> Column:
     return out
 
 
-def decide(alerts: DataFrame, config: AlertCooldowns) -> DataFrame:
+def decide(alerts: DataFrame, config: AlertCooldowns, tie: Sequence[str] = ()) -> DataFrame:
     """sent, failed or suppressed for every alert (key, observed_at, delivered), in time order per key.
 
-    Only a delivered alert starts a cooldown. Alerts of one key at the same second count as one instant.
+    Only a delivered alert starts a cooldown, and it ends on the microsecond. Alerts of one key at the same microsecond are taken
+    in the order of the ``tie`` columns; of delivered ones the first is sent, those after it are suppressed, and one that fails before it
+    leaves the key free.
     """
-    at = F.unix_seconds("observed_at")
-    held = F.when(F.col("delivered"), cooldown_minutes(config) * 60).otherwise(0)
+    at = F.unix_micros("observed_at")
+    held = F.when(F.col("delivered"), cooldown_minutes(config).cast("bigint") * 60_000_000).otherwise(0)
     rows = alerts.withColumn("_s", at).withColumn("_f", at + held)
     instants = rows.groupBy(*KEY, "_s").agg(F.max("_f").alias("_f"))
     longest = max([config.default_minutes, *config.by_type.values()])
-    chosen = choose_non_overlapping(instants, KEY, "_s", "_f", max(7 * 86_400, longest * 60))
+    chosen = choose_non_overlapping(instants, KEY, "_s", "_f", max(7 * 86_400, longest * 60) * 1_000_000)
     out = rows.join(chosen.withColumn("_open", F.lit(True)), [*KEY, "_s"], "left")
-    decision = F.when(F.col("_open").isNull(), "suppressed").when(F.col("delivered"), "sent").otherwise("failed")
-    until = F.when(decision == "sent", F.timestamp_seconds("_f"))
+    order = F.struct(*tie) if tie else F.xxhash64(*alerts.columns)
+    instant = Window.partitionBy(*KEY, "_s").orderBy(order)
+    started = F.coalesce(F.max("delivered").over(instant.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    positive = cooldown_minutes(config) > 0
+    out = out.withColumn("_open", F.col("_open").isNotNull() & ~(started & positive))
+    decision = F.when(~F.col("_open"), "suppressed").when(F.col("delivered"), "sent").otherwise("failed")
+    until = F.when(decision == "sent", F.timestamp_micros("_f"))
     return out.withColumn("decision", decision).withColumn("cooldown_until", until).drop("_s", "_f", "_open")
 
 

@@ -255,7 +255,7 @@ def date_bound(bars: DataFrame, start: str, end: str, expected: int, threshold_p
         F.when((F.col("in_range") == 0) & (F.col("out_of_range") > 0), "clipped_to_recent_history").when(F.col("in_range") == 0, "empty")
         .when((F.col("out_of_range") > 0) & meets, "superset_with_complete_requested_range").when(F.col("out_of_range") > 0, "clipped_but_contains_partial_requested_range")
         .when(meets, "honored_exactly")
-        .when((F.col("last") >= F.date_sub(z, 180)) & (F.col("first") > F.date_add(a, 30)), "clipped_to_recent_history").otherwise("partial")
+        .when((F.col("last") >= F.date_sub(z, 180)) & (F.col("first") > F.date_add(a, 30)), "clipped_to_recent_history").otherwise("clipped_but_contains_partial_requested_range")
     )
     return f.withColumn("date_bound", cls)
 
@@ -312,4 +312,4 @@ def family_verdict(flags: dict[str, Column], required: Sequence[str]) -> Column:
     """Evidence verdict of a data family from its boolean flags."""
     present = [F.coalesce(flags[n], F.lit(False)) for n in required]
     good = sum((p.cast("int") for p in present), F.lit(0))
-    return F.when(good == len(required), "supported").when(good == 0, "unsupported").otherwise("partial")
+    return F.when(good == len(required), "supported").when(good == 0, "unsupported").otherwise("clipped_but_contains_partial_requested_range")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import SIMILARITY_WEIGHTS, PatternProfile, Split
 from ..functions.numbers import half_even, similarity
-from ..functions.returns import directed_return_pct
+from ..functions.returns import directed_return_pct, slippage_key
 from ..operators.blocks import BLOCK_ROWS, HALO_ROWS, block_window, lay_out, number_rows, owned, place_rows
 from ..operators.calendar import in_split
 from ..operators.greedy import choose_non_overlapping
@@ -245,7 +245,7 @@ def observations(
     down = F.col("event_type") == "decline"
     nets = [
         F.when(done, F.when(down, directed_return_pct(F.col("entry_open"), F.col("exit_close"), s, True))
-               .otherwise(directed_return_pct(F.col("entry_open"), F.col("exit_close"), s, False))).alias(f"net_return_pct_{int(s)}bps")
+               .otherwise(directed_return_pct(F.col("entry_open"), F.col("exit_close"), s, False))).alias(f"net_return_pct_{slippage_key(s)}bps")
         for s in slippage
     ]
     return scored.select(

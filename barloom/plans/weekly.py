@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Split
-from ..functions.returns import bucket_label, net_return_pct
+from ..functions.returns import bucket_label, net_return_pct, slippage_key
 from ..operators.blocks import block_window, number_rows, owned, running_peak, running_total
 from ..operators.calendar import in_split
 from ..operators.greedy import choose_non_overlapping
@@ -73,7 +73,7 @@ def weekly_events(signals: DataFrame, market: DataFrame, spec: WeeklySpec, split
     out = out.withColumn("outcome_status", status).join(opens, "entry_week", "left").join(closes, "exit_week", "left")
     done = F.col("outcome_status") == "complete"
     nets = {
-        f"net_return_pct_{int(s)}bps": F.when(done, net_return_pct(F.col("entry_open"), F.col("exit_close"), s, spec.commission_bps)) for s in spec.slippage_bps
+        f"net_return_pct_{slippage_key(s)}bps": F.when(done, net_return_pct(F.col("entry_open"), F.col("exit_close"), s, spec.commission_bps)) for s in spec.slippage_bps
     }
     return out.withColumns(
         {
@@ -145,7 +145,7 @@ def downside(rows: DataFrame, value: str) -> DataFrame:
 
 
 def cost_sensitivity(rows: DataFrame, spec: WeeklySpec) -> DataFrame:
-    costs = F.array(*[F.struct(F.lit(float(s)).alias("slippage_bps"), F.col(f"net_return_pct_{int(s)}bps").alias("net")) for s in spec.slippage_bps])
+    costs = F.array(*[F.struct(F.lit(float(s)).alias("slippage_bps"), F.col(f"net_return_pct_{slippage_key(s)}bps").alias("net")) for s in spec.slippage_bps])
     long_form = rows.withColumn("c", F.explode(costs)).select("rule", "split", "horizon", "c.slippage_bps", "c.net").filter("net IS NOT NULL")
     cell = ["rule", "split", "horizon", "slippage_bps"]
     m = long_form.groupBy(*cell).agg(F.count(F.lit(1)).alias("count"), F.avg("net").alias("mean_net_return_pct"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))

@@ -48,10 +48,9 @@ def write_snapshot(flagged: DataFrame, quality: DataFrame, audit: DataFrame, pat
 def append_scan(root: str, session: DataFrame, observations: DataFrame, signals: DataFrame, run: DataFrame) -> None:
     """Append one scan to its four tables; a session id seen before is an error."""
     spark = session.sparkSession
-    try:
-        old = spark.read.parquet(f"{root}/scan_sessions").select("session_id")
-    except Exception:  # the first scan creates the table
-        old = None
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/scan_sessions")
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    old = spark.read.parquet(f"{root}/scan_sessions").select("session_id") if there else None  # the first scan creates the table
     if old is not None and session.join(old, "session_id", "left_semi").limit(1).count():
         raise ValueError("scan session id already stored")
     # the session row goes last: readers join on it, so a half-written scan stays invisible

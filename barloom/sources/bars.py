@@ -1,6 +1,8 @@
 """Bar sources: landed files and adapters from trade-like tables."""
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def ticks_to_bars(ticks: DataFrame, group: list[str], order: Column) -> DataFram
     )
 
 
+def wide_order(first: Column, second: Column) -> Column:
+    """Two longs, the second after the first, as one whole number of up to 38 digits: exact for ``first`` below 2**56 in magnitude."""
+    return first.cast("decimal(17,0)") * F.lit(Decimal(2**64)) + (second.cast("decimal(20,0)") + F.lit(Decimal(2**63)))
+
+
 def _line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
@@ -40,9 +47,12 @@ def _line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_order() -> Column:
-    """(orderkey, linenumber, parts) packed into one long, so that the aggregation buffer stays mutable."""
-    rest = F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey"), F.lit(65_536))
-    return F.col("l_orderkey") * 524_288 + F.col("l_linenumber") * 65_536 + rest
+    """(orderkey, linenumber, parts) as one number, so that the aggregation buffer stays mutable.
+
+    Exact up to 2**23 lines of an order and 2**40 parts times suppliers' spread; lines of one order and number go by part and supplier.
+    """
+    rest = F.col("l_linenumber").cast("bigint") * 2**40 + F.col("l_partkey") * 31 + F.col("l_suppkey")
+    return wide_order(F.col("l_orderkey"), rest)
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +81,7 @@ def event_bars(spark: SparkSession, sf_dir: str, minutes: int = 60, user_groups:
         "event_id", F.col("value").alias("price"), F.lit(1.0).alias("quantity"),
     )
     # microseconds inside the bar, then the event id
-    order = (F.col("us") - F.unix_micros("bar_ts")) * 2**31 + F.pmod("event_id", F.lit(2**31))
+    order = wide_order(F.col("us") - F.unix_micros("bar_ts"), F.col("event_id"))
     return ticks_to_bars(ticks, ["ticker", "bar_ts"], order).withColumnRenamed("bar_ts", "ts")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import AlertCooldowns
 from ..operators.calendar import local_day
 from ..plans.alerts import KEY, cooldown_minutes
+from ..sources.bars import wide_order
 
 
 def stream_ticks(spark: SparkSession, path: str, schema: str, pattern: str, ts: str, ticker: str, price: str, order: str) -> DataFrame:
@@ -20,7 +21,7 @@ def stream_ticks(spark: SparkSession, path: str, schema: str, pattern: str, ts:
 
 def stream_bars(ticks: DataFrame, minutes: int, watermark: str = "10 minutes") -> DataFrame:
     """Tumbling OHLCV windows; a window is emitted once, after the watermark has passed it."""
-    order = F.unix_micros("ts") * 1_000 + F.pmod("tick_id", F.lit(1_000))
+    order = wide_order(F.unix_micros("ts"), F.col("tick_id"))
     return (
         ticks.withWatermark("ts", watermark).groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "ticker").agg(
             F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
@@ -54,15 +55,15 @@ def stream_decisions(alerts: DataFrame, config: AlertCooldowns) -> DataFrame:
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         until = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("observed_at")
+        rows = pd.concat(list(batches)).sort_values("observed_at", kind="stable")
         out = []
         for r in rows.itertuples():
-            now = int(r.observed_at.timestamp())
+            now = r.observed_at.value // 1_000  # microseconds
             if now < until:
                 out.append("suppressed")
             elif r.delivered:
                 out.append("sent")
-                until = now + int(r.minutes) * 60
+                until = now + int(r.minutes) * 60_000_000
             else:
                 out.append("failed")
         state.update((until,))

@@ -151,7 +151,7 @@ def thinned(spark, sf):
     t = F.col("ts").cast("timestamp")
     start = F.timestamp_seconds(F.floor(F.unix_seconds(t) / 3600) * 3600)
     ticks = ev.select(F.col("event_type").alias("ticker"), start.alias("bar_ts"), F.unix_micros(t).alias("us"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("quantity"))
-    order = (F.col("us") - F.unix_micros("bar_ts")) * 2**31 + F.pmod("event_id", F.lit(2**31))
+    order = src.wide_order(F.col("us") - F.unix_micros("bar_ts"), F.col("event_id"))
     return src.ticks_to_bars(ticks, ["ticker", "bar_ts"], order).withColumnRenamed("bar_ts", "ts")
 
 

@@ -48,7 +48,7 @@ def session_data(spark, sf):
         F.col("event_type").alias("ticker"), cal.at_local(midnight, 570 + slot * 65).alias("bar_ts"), F.unix_micros(t).alias("us"), "event_id",
         F.col("value").alias("price"), F.lit(1.0).alias("quantity"), local.alias("lt"), midnight.alias("ld"), slot.alias("slot"),
     )
-    order = (F.col("us") - F.unix_micros("bar_ts")) * 2**31 + F.pmod("event_id", F.lit(2**31))
+    order = src.wide_order(F.col("us") - F.unix_micros("bar_ts"), F.col("event_id"))
     bars = src.ticks_to_bars(ticks, ["ticker", "bar_ts"], order).withColumnRenamed("bar_ts", "ts")
     sessions = cal.calendar_of(src.event_bars(spark, sf, 60), early_close=F.dayofmonth("session_date") == 24)
     grid = cal.session_grid(sessions, 65)

@@ -54,9 +54,8 @@ def _(spark, sf):
 COOL = AlertCooldowns(default_minutes=60, by_type={"coil": 240, "pattern": 30})
 ALERTS = """
 al AS MATERIALIZED (
-  SELECT upper(event_type) AS ticker, CASE WHEN value < 10 THEN 'coil' WHEN value < 20 THEN 'confluence' WHEN value < 40 THEN 'pattern_runup' ELSE 'gap_large' END AS alert_type, epoch(date_trunc('second', ts))::BIGINT AS s, bool_or(event_id % 5 <> 0) AS delivered, count(*) AS n,
-    count(*) FILTER (event_id % 5 <> 0) AS good FROM events GROUP BY 1, 2, 3),
-an AS MATERIALIZED (SELECT *, s + CASE WHEN delivered THEN CASE alert_type WHEN 'coil' THEN 14400 WHEN 'pattern_runup' THEN 1800 ELSE 3600 END ELSE 0 END AS f, row_number() OVER (PARTITION BY ticker, alert_type ORDER BY s) AS k FROM al),
+  SELECT upper(event_type) AS ticker, CASE WHEN value < 10 THEN 'coil' WHEN value < 20 THEN 'confluence' WHEN value < 40 THEN 'pattern_runup' ELSE 'gap_large' END AS alert_type, epoch_us(ts) AS s, event_id % 5 <> 0 AS delivered, event_id FROM events),
+an AS MATERIALIZED (SELECT *, s + CASE WHEN delivered THEN CASE alert_type WHEN 'coil' THEN 14400 WHEN 'pattern_runup' THEN 1800 ELSE 3600 END * 1000000 ELSE 0 END AS f, row_number() OVER (PARTITION BY ticker, alert_type ORDER BY s, event_id) AS k FROM al),
 wa AS (
   SELECT ticker, alert_type, k, f AS held, true AS open FROM an WHERE k = 1
   UNION ALL SELECT a.ticker, a.alert_type, a.k, CASE WHEN a.s >= w.held THEN a.f ELSE w.held END, a.s >= w.held FROM wa w JOIN an a ON a.ticker = w.ticker AND a.alert_type = w.alert_type AND a.k = w.k + 1)"""
@@ -64,14 +63,14 @@ wa AS (
 
 @query(
     "alert_cooldown_state",
-    with_(ALERTS, select="SELECT ticker, alert_type, coalesce(sum(good) FILTER (open), 0)::BIGINT AS sent, coalesce(sum(n) FILTER (NOT open), 0)::BIGINT AS suppressed, coalesce(sum(n - good) FILTER (open), 0)::BIGINT AS failed FROM wa JOIN an USING (ticker, alert_type, k) GROUP BY 1, 2"),
+    with_(ALERTS, select="SELECT ticker, alert_type, count(*) FILTER (open AND delivered) AS sent, count(*) FILTER (NOT open) AS suppressed, count(*) FILTER (open AND NOT delivered) AS failed FROM wa JOIN an USING (ticker, alert_type, k) GROUP BY 1, 2"),
 )
 def _(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet")
     v = F.col("value")
     kind = F.when(v < 10, "coil").when(v < 20, "confluence").when(v < 40, "pattern_runup").otherwise("gap_large")
-    rows = ev.select(F.col("event_type").alias("ticker"), kind.alias("alert_type"), F.lit("All").alias("timeframe"), F.col("ts").cast("timestamp").alias("observed_at"), (F.col("event_id") % 5 != 0).alias("delivered"))
-    return al.alert_state(al.decide(al.normalize_key(rows), COOL)).select("ticker", "alert_type", "sent", "suppressed", "failed")
+    rows = ev.select(F.col("event_type").alias("ticker"), kind.alias("alert_type"), F.lit("All").alias("timeframe"), F.col("ts").cast("timestamp").alias("observed_at"), (F.col("event_id") % 5 != 0).alias("delivered"), "event_id")
+    return al.alert_state(al.decide(al.normalize_key(rows), COOL, ["event_id"])).select("ticker", "alert_type", "sent", "suppressed", "failed")
 
 
 @query(

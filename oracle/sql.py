@@ -4,7 +4,7 @@ from __future__ import annotations
 DAILY = """
 px AS (
   SELECT p_brand AS ticker, l_shipdate AS ts, l_extendedprice / l_quantity AS price, l_quantity AS quantity,
-         l_orderkey * 524288 + l_linenumber * 65536 + (l_partkey * 31 + l_suppkey) % 65536 AS ord
+         (l_orderkey, l_linenumber, l_partkey * 31 + l_suppkey) AS ord
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 bars AS MATERIALIZED (
   SELECT ticker, ts, first(price ORDER BY ord) AS open, max(price) AS high, min(price) AS low,

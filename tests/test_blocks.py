@@ -20,7 +20,7 @@ def series(n, seed, ticker, freq="5min"):
 @pytest.fixture(scope="module")
 def bars(spark):
     # one ticker holds most rows
-    pdf = pd.concat([series(9_000, 1, "HOT"), series(400, 2, "B"), series(60, 3, "C"), series(10, 4, "D")])
+    pdf = pd.concat([series(45_000, 1, "HOT"), series(400, 2, "B"), series(60, 3, "C"), series(10, 4, "D")])
     return pdf, spark.createDataFrame(pdf)
 
 
@@ -35,7 +35,8 @@ def expected(p):
     dn = (-d.where(d < 0, 0.0)).ewm(alpha=1 / 14, min_periods=14, adjust=False).mean()
     macd = ema(c, 12) - ema(c, 26)
     signal = ema(macd, 9)
-    mid, dev = c.rolling(20).mean(), c.rolling(20).std(ddof=0)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(19, np.nan), c]), 20)  # rolling sums drift on long series
+    mid, dev = pd.Series(windows.mean(axis=1)), pd.Series(windows.std(axis=1))
     tr = pd.concat([p.high - p.low, (p.high - c.shift()).abs(), (p.low - c.shift()).abs()], axis=1).max(axis=1).to_numpy()
     atr = np.zeros(len(p))
     if len(p) >= 14:
@@ -48,7 +49,7 @@ def expected(p):
     })
 
 
-@pytest.mark.parametrize("block_rows", [2_048, 65_536])
+@pytest.mark.parametrize("block_rows", [20_480, 65_536])
 def test_indicators_match_pandas_across_blocks(bars, block_rows):
     pdf, df = bars
     got = owned(with_indicators(df, block_rows=block_rows)).toPandas()
@@ -60,6 +61,30 @@ def test_indicators_match_pandas_across_blocks(bars, block_rows):
             np.testing.assert_allclose(mine[c].astype(float), want[c].astype(float), rtol=1e-8, atol=1e-8, err_msg=f"{ticker} {c}")
 
 
+def halted(ticker, moving, flat, seed):
+    p = series(moving + flat, seed, ticker)
+    for c in ("open", "high", "low", "close"):
+        p.loc[moving:, c] = p.close[moving - 1]
+    return p
+
+
+@pytest.mark.parametrize("block_rows", [20_480, 24_000, 65_536])
+def test_averages_equal_the_recursion_on_flat_stretches(spark, block_rows):
+    pdf = pd.concat([halted("A", 300, 5_700, 5), halted("B", 19_900, 5_000, 6)])
+    got = owned(with_indicators(spark.createDataFrame(pdf), block_rows=block_rows)).toPandas()
+    for ticker, p in pdf.groupby("ticker"):
+        move = np.diff(p.close.to_numpy())
+        up = down = 0.0
+        rsi = np.full(len(p), np.nan)
+        for i in range(len(p)):
+            if i:
+                up, down = up * 13 / 14 + max(move[i - 1], 0.0) / 14, down * 13 / 14 + max(-move[i - 1], 0.0) / 14
+            if i >= 13:
+                rsi[i] = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
+        mine = got[got.ticker == ticker].sort_values("pos")
+        np.testing.assert_allclose(mine.rsi.astype(float), rsi, rtol=1e-9, err_msg=ticker)
+
+
 def test_no_look_ahead(spark, bars):
     pdf, _ = bars
     one = pdf[pdf.ticker == "B"]

@@ -20,22 +20,38 @@ COOL = AlertCooldowns(default_minutes=60, by_type={"coil": 120})
 def alert_rows(spark):
     t = pd.Timestamp("2024-01-02 10:00")
     rows = [("AAA", "coil", "short", t + pd.Timedelta(minutes=m), ok) for m, ok in ((0, False), (5, True), (60, True), (124, True), (125, True), (300, True))]
+    rows += [("BBB", "coil", "short", t + pd.Timedelta(seconds=x), ok) for x, ok in ((0.1, False), (0.2, True), (1.0, True), (7_200.199999, True), (7_200.2, True))]
     rows += [("AAA", "gap_large", "short", t + pd.Timedelta(minutes=m), True) for m in (0, 59, 60)]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["ticker", "alert_type", "timeframe", "observed_at", "delivered"]))
 
 
 def test_cooldown_batch_and_stream_agree(spark, tmp_path):
     df = alert_rows(spark)
-    batch = {(r.alert_type, r.observed_at): r.decision for r in al.decide(df, COOL).collect()}
-    coil = [d for (k, _), d in sorted(batch.items()) if k == "coil"]
+    batch = {(r.ticker, r.alert_type, r.observed_at): r.decision for r in al.decide(df, COOL).collect()}
+    coil = [d for (t, k, _), d in sorted(batch.items()) if (t, k) == ("AAA", "coil")]
+    assert [d for (t, _, _), d in sorted(batch.items()) if t == "BBB"] == ["failed", "sent", "suppressed", "suppressed", "sent"]
     assert coil == ["failed", "sent", "suppressed", "suppressed", "sent", "sent"]
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     sb.run_available(sb.stream_decisions(stream, COOL), str(tmp_path / "out"), str(tmp_path / "ck"))
-    streamed = {(r.alert_type, r.observed_at): r.decision for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    streamed = {(r.ticker, r.alert_type, r.observed_at): r.decision for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert streamed == batch
 
 
+def test_alerts_of_one_instant_go_by_the_tie_columns(spark):
+    rows = [("A", "coil", "short", pd.Timestamp("2024-01-02"), ok, i) for i, ok in enumerate((False, True, True, False))]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["ticker", "alert_type", "timeframe", "observed_at", "delivered", "n"]))
+    got = {r.n: r.decision for r in al.decide(df, COOL, ["n"]).collect()}
+    assert got == {0: "failed", 1: "sent", 2: "suppressed", 3: "suppressed"}
+
+
+def test_wide_order_and_long_bars(spark):
+    df = spark.createDataFrame([(1, 2**62), (1, 2**62 + 1), (2**55, -(2**62)), (0, 2**63 - 1), (-(2**55), 0)], "a bigint, b bigint")
+    rows = [(r.a, r.b) for r in df.orderBy(src.wide_order(F.col("a"), F.col("b"))).collect()]
+    assert rows == sorted(rows)
+    assert src.event_bars(spark, "/root/testdata/sf0.001", 390).count() > 0
+
+
 def test_stream_bars_equal_batch_bars(spark, tmp_path):
     pdf = pd.DataFrame({"event_id": range(400), "ts": pd.date_range("2024-01-01", periods=400, freq="97s"), "event_type": ["a", "b"] * 200, "value": [float(i % 37) for i in range(400)]})
     spark.createDataFrame(pdf).write.parquet(str(tmp_path / "in"))
