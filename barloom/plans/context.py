@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.blocks import HALO_ROWS, block_window, lay_out, owned, smooth
+from ..operators.stats import exact_quantiles
 from ..operators.calendar import business_days_between
 from ..operators.indicators import ema_input, indicator_frame
 
@@ -148,40 +150,89 @@ def close_on_or_before(decisions: DataFrame, bars: DataFrame, max_days: int = 5)
     return decisions.join(hit, ["ticker", "decision_date"], "left")
 
 
+@dataclass(frozen=True)
+class PolicyRule:
+    """Sample minima of a policy's selection and of its holdout test."""
+
+    minimum_validation_events: int = 100
+    minimum_holdout_events: int = 100
+    minimum_holdout_tickers: int = 10
+    minimum_event_retention_pct: float = 25.0
+    minimum_ticker_coverage_pct: float = 50.0
+    positive_rate_slack_pct: float = 2.0
+
+
 def policy_metrics(events: DataFrame, flags: dict[str, Column], value: str, groups: Sequence[str] = ("split",)) -> DataFrame:
-    """Counts, retention, coverage and returns per policy from eligibility flags."""
+    """Counts, retention, coverage and returns per policy from eligibility flags, over complete events."""
     groups = list(groups)
     rows = F.array(*[F.struct(F.lit(p).alias("policy"), F.coalesce(c, F.lit(False)).alias("kept")) for p, c in flags.items()])
-    per_ticker = (
-        events.withColumn("_p", F.explode(rows)).groupBy(*groups, F.col("_p.policy").alias("policy"), "ticker").agg(
-            F.count(F.lit(1)).alias("_all"), F.count_if("_p.kept").alias("_n"),
-            F.sum(F.when(F.col("_p.kept"), F.col(value))).alias("_sum"),
-            F.count_if(F.col("_p.kept") & (F.col(value) > 0)).alias("_pos"),
-            F.avg(F.when(F.col("_p.kept"), F.col(value))).alias("_mean"),
-        )
-    )
-    return per_ticker.groupBy(*groups, "policy").agg(
+    spread = events.withColumn("_p", F.explode(rows)).withColumns({"policy": F.col("_p.policy"), "_kept": F.col("_p.kept")})
+    per_ticker = spread.groupBy(*groups, "policy", "ticker").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if("_kept").alias("_n"), F.sum(F.when(F.col("_kept"), F.col(value))).alias("_sum"),
+        F.count(F.when(F.col("_kept"), F.col(value))).alias("_known"), F.count_if(F.col("_kept") & (F.col(value) > 0)).alias("_pos"),
+    ).withColumn("_mean", F.try_divide(F.col("_sum"), F.col("_known")))
+    whole = per_ticker.groupBy(*groups, "policy").agg(
         F.sum("_n").alias("eligible_events"), (F.sum("_n") / F.sum("_all") * 100).alias("event_retention_pct"),
-        (F.count_if(F.col("_n") > 0) / F.count(F.lit(1)) * 100).alias("ticker_coverage_pct"),
-        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_net_return_pct"),
-        (F.try_divide(F.sum("_pos"), F.sum("_n")) * 100).alias("positive_rate_pct"),
-        F.avg("_mean").alias("mean_ticker_return_pct"), F.median("_mean").alias("median_ticker_return_pct"),
+        F.count_if(F.col("_n") > 0).alias("tickers"), (F.count_if(F.col("_n") > 0) / F.count(F.lit(1)) * 100).alias("ticker_coverage_pct"),
+        F.try_divide(F.sum("_sum"), F.sum("_known")).alias("mean_net_return_pct"), (F.try_divide(F.sum("_pos"), F.sum("_known")) * 100).alias("positive_rate_pct"),
+        F.avg("_mean").alias("mean_ticker_return_pct"),
     )
+    cell = [*groups, "policy"]
+    medians = exact_quantiles(spread.filter("_kept"), cell, value, {"median_net_return_pct": 0.5})
+    ticker_medians = exact_quantiles(per_ticker, cell, "_mean", {"median_ticker_return_pct": 0.5})
+    return whole.join(medians, cell, "left").join(ticker_medians, cell, "left")
 
 
-def select_policy(metrics: DataFrame, order: Sequence[str], minimum_events: int, baseline: str = "off") -> DataFrame:
-    """Best policy by validation improvement over the baseline; the simpler one on ties."""
-    base = metrics.filter(F.col("policy") == baseline).select("split", F.col("mean_net_return_pct").alias("_base"))
-    lift = metrics.join(base, "split").withColumn("improvement", F.col("mean_net_return_pct") - F.col("_base"))
-    wide = lift.filter(F.col("policy") != baseline).groupBy("policy").agg(
-        *[F.max(F.when(F.col("split") == s, F.col("improvement"))).alias(f"{s}_improvement") for s in ("development", "validation")],
-        *[F.max(F.when(F.col("split") == s, F.col("eligible_events"))).alias(f"{s}_events") for s in ("development", "validation")],
-    )
-    ok = (
-        (F.col("development_improvement") > 0) & (F.col("validation_improvement") > 0)
-        & (F.col("development_events") >= minimum_events) & (F.col("validation_events") >= minimum_events)
-    )
-    rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("policy"))
-    return wide.withColumn("qualifies", F.coalesce(ok, F.lit(False))).withColumn("_rank", rank).filter("qualifies").orderBy(
-        F.desc("validation_improvement"), "_rank"
-    ).limit(1).drop("_rank")
+JUDGED = ["eligible_events", "tickers", "event_retention_pct", "ticker_coverage_pct", "mean_net_return_pct", "mean_ticker_return_pct", "median_net_return_pct", "positive_rate_pct"]
+
+
+def _beside_baseline(metrics: DataFrame, splits: Sequence[str], baseline: str) -> DataFrame:
+    """One row per policy with ``<split>_<metric>`` and ``<split>_base_<metric>``; null where a split is absent."""
+    own = metrics.filter(F.col("policy") != baseline).groupBy("policy").agg(*[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}") for s in splits for m in JUDGED])
+    base = metrics.filter(F.col("policy") == baseline).agg(*[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_base_{m}") for s in splits for m in JUDGED])
+    return own.join(base)  # the baseline is one row
+
+
+def _better(split: str, rule: PolicyRule) -> dict[str, Column]:
+    """What a policy must show against the baseline in a split; null figures fail."""
+    x, y = (lambda m: F.col(f"{split}_{m}")), (lambda m: F.col(f"{split}_base_{m}"))
+    return {
+        "retention": x("event_retention_pct") >= rule.minimum_event_retention_pct, "ticker coverage": x("ticker_coverage_pct") >= rule.minimum_ticker_coverage_pct,
+        "mean return": x("mean_net_return_pct") > y("mean_net_return_pct"), "mean ticker return": x("mean_ticker_return_pct") > y("mean_ticker_return_pct"),
+        "median return": x("median_net_return_pct") >= y("median_net_return_pct"),
+        "positive rate": x("positive_rate_pct") >= F.coalesce(y("positive_rate_pct"), F.lit(0.0)) - rule.positive_rate_slack_pct,
+    }
+
+
+def policy_selection(metrics: DataFrame, rule: PolicyRule, simplest: str, baseline: str = "off") -> DataFrame:
+    """Every policy with ``qualifies``, its validation improvement of the mean ticker return, and ``selected`` for the best that qualifies.
+
+    Selection sees development and validation only. Ties go to the ``simplest`` policy, then by name.
+    """
+    wide = _beside_baseline(metrics, ["development", "validation"], baseline)
+    needs = [F.col("development_mean_net_return_pct") > F.col("development_base_mean_net_return_pct"), F.col("validation_eligible_events") >= rule.minimum_validation_events, *_better("validation", rule).values()]
+    ok = F.lit(True)
+    for need in needs:
+        ok = ok & F.coalesce(need, F.lit(False))
+    gain = F.coalesce("validation_mean_ticker_return_pct", F.lit(0.0)) - F.coalesce("validation_base_mean_ticker_return_pct", F.lit(0.0))
+    out = wide.select("policy", ok.alias("qualifies"), gain.alias("validation_improvement"))
+    order = Window.orderBy(F.desc("qualifies"), F.desc("validation_improvement"), F.col("policy") != simplest, "policy")  # one row per policy
+    return out.withColumn("selected", F.col("qualifies") & (F.row_number().over(order) == 1))
+
+
+def ticker_comparison(events: DataFrame, kept: Column, value: str) -> DataFrame:
+    """Baseline and candidate events and mean returns per ticker; improved if the candidate's mean is not below."""
+    k = F.coalesce(kept, F.lit(False))
+    out = events.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("baseline_events"), F.count_if(k).alias("candidate_events"), F.avg(value).alias("baseline_mean_pct"), F.avg(F.when(k, F.col(value))).alias("candidate_mean_pct"))
+    return out.withColumn("improved", F.coalesce(F.col("candidate_mean_pct") >= F.col("baseline_mean_pct"), F.lit(False)))
+
+
+def holdout_verdict(metrics: DataFrame, tickers: DataFrame, policy: str, rule: PolicyRule, baseline: str = "off") -> DataFrame:
+    """One row: whether the policy passes the holdout, and the criteria it fails (fixed order)."""
+    wide = _beside_baseline(metrics.filter(F.col("policy").isin(policy, baseline)), ["holdout"], baseline)
+    share = tickers.agg(F.count(F.lit(1)).alias("_represented"), F.count_if("improved").alias("_improved"))
+    needs = {"events": F.col("holdout_eligible_events") >= rule.minimum_holdout_events, "tickers": F.col("holdout_tickers") >= rule.minimum_holdout_tickers, **_better("holdout", rule),
+             "more than one ticker": F.col("holdout_tickers") != 1, "half of the tickers improved": (F.col("_represented") == 0) | (F.col("_improved") >= F.col("_represented") / 2)}
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(need, F.lit(False)), F.lit(name)) for name, need in needs.items()]))
+    return wide.join(share).select("policy", failed.alias("failures")).withColumn("passed", F.size("failures") == 0)

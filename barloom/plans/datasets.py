@@ -13,29 +13,63 @@ from .context import as_of_join
 
 # ---- securities ---------------------------------------------------------------------------------
 
-# Keyword rules of security names, tested in this order.
-NAME_RULES = [
-    ("etn", r"\betn\b|exchange traded note"),
-    ("etf", r"\betf\b|exchange traded fund"),
-    ("preferred_stock", r"\bpreferred\b|\bpfd\b"),
-    ("warrant", r"\bwarrants?\b"),
-    ("right", r"\brights?\b"),
-    ("unit", r"\bunits?\b"),
-    ("closed_end_fund", r"closed[- ]end"),
-    ("spac", r"acquisition corp|blank check"),
-    ("shell", r"\bshell\b"),
-    ("otc", r"\botc\b"),
-    ("common_stock", r"common stock|ordinary shares|\binc\b|\bcorp\b"),
-]
-
-
-def security_class(name: Column, security_type: Column) -> Column:
-    """Class of a security from its type and name by the first matching rule."""
-    text = F.lower(F.concat_ws(" ", security_type, name))
-    out = F.when(text.rlike(NAME_RULES[0][1]), NAME_RULES[0][0])
-    for label, pattern in NAME_RULES[1:]:
-        out = out.when(text.rlike(pattern), label)
-    return out.otherwise("unknown")
+# Classes of provider type codes, key words of names, SIC codes and class labels.
+OTHER_CLASS = "other_structurally_incomparable_securities"
+TYPE_CLASSES = {
+    "PFD": "preferred_stock", "WARRANT": "warrant", "RIGHT": "right", "UNIT": "unit", "ETN": "ETN", "BOND": OTHER_CLASS, "SP": OTHER_CLASS,
+    "ADRC": OTHER_CLASS, "ADRP": "preferred_stock", "ADRW": "warrant", "ADRR": "right", "ETV": OTHER_CLASS, "BASKET": OTHER_CLASS,
+}
+SPAC_WORDS = ["spac", "blank check", "blank-check", "acquisition corp", "acquisition company", "hedosophia", "social capital", "special purpose", "newmont acquisition"]
+ETF_WORDS = ["etf", "exchange traded fund"]
+ETN_WORDS = ["etn", "exchange traded note"]
+PREFERRED_WORDS = ["preferred stock", "preference share", "preferred share", "preferred a", "preferred b", "preferred c", "preferred d"]
+WARRANT_WORDS, RIGHT_WORDS, UNIT_WORDS = ["warrant"], [" right", "rights"], ["unit"]
+CLOSED_END_WORDS = ["closed-end", "closed end", "closedend", "fnd"]
+COMMON_WORDS = ["inc", "corp", "corporation", "company", "plc", "ltd", "limited", "holdings", "group", "enterprises"]
+SPAC_SIC, SHELL_SIC = "6770", "6799"
+# End of the fixed values.
+
+
+def _holds(text: Column, words: Sequence[str]) -> Column:
+    out = text.contains(words[0])
+    for word in words[1:]:
+        out = out | text.contains(word)
+    return out
+
+
+def name_class(name: Column) -> Column:
+    """Class that a security's name tells, or null; funds go before what they hold."""
+    n = F.lower(F.coalesce(name, F.lit("")))
+    fund = n.contains("fund") & ~(n.contains("reit") | n.contains("investment trust") | n.contains("mutual"))
+    return (
+        F.when(_holds(n, ETF_WORDS), "ETF").when(_holds(n, ETN_WORDS), "ETN").when(_holds(n, PREFERRED_WORDS), "preferred_stock")
+        .when(_holds(n, WARRANT_WORDS), "warrant").when(_holds(n, RIGHT_WORDS), "right").when(_holds(n, UNIT_WORDS), "unit")
+        .when(_holds(n, CLOSED_END_WORDS) | fund, "closed_end_fund").when(_holds(n, SPAC_WORDS), "pre_merger_spac")
+        .when(n.contains("shell company") | (F.trim(n) == "shell"), "shell_company")
+    )
+
+
+def security_class(name: Column, code: Column, market: Column, exchange: Column, sic: Column, sic_description: Column, common_description: Column) -> Column:
+    """Class of a listed security as of its date.
+
+    Market and exchange decide first, then specific type codes, then blank-check and shell signs, then the fund codes, then the
+    name. The generic code ``CS`` is common stock only if the provider describes it so (``common_description``), and the name has a
+    company's word. All else is unknown.
+    """
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    n, m, kind, number = text(name), text(market), F.upper(F.coalesce(code, F.lit(""))), F.coalesce(sic, F.lit(""))
+    spac = (number == SPAC_SIC) | text(sic_description).contains("blank") | _holds(n, SPAC_WORDS)
+    shell = n.contains("shell company") | (F.trim(n) == "shell") | (number == SHELL_SIC)
+    out = F.when((m == "otc") | (F.coalesce(exchange, F.lit("")) == ""), "OTC")
+    for known, label in TYPE_CLASSES.items():
+        out = out.when(kind == known, label)
+    return (
+        out.when(spac, "pre_merger_spac").when(shell, "shell_company").when(kind == "ETF", "ETF")
+        .when(kind == "FUND", F.when(m == "stocks", "closed_end_fund").otherwise(OTHER_CLASS))
+        .when(name_class(name).isNotNull(), name_class(name))
+        .when((kind == "CS") & text(common_description).contains("common stock") & _holds(n, COMMON_WORDS), "common_stock")
+        .otherwise("unknown")
+    )
 
 
 def eligibility_verdicts(securities: DataFrame, types: Sequence[str], excluded: Sequence[str], exchanges: Sequence[str]) -> DataFrame:

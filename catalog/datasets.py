@@ -37,17 +37,40 @@ def _(spark, sf):
 WORDS = ["Common Stock", "ETF", "Warrants", "Units", "Preferred", "Acquisition Corp", "closed-end fund", "plain"]
 
 
+NAME_WORDS = ["inc common", "etf trust", "exchange traded note", "preferred a", "warrants", "subscription rights", "units", "closed-end", "income fund", "mutual fund inc", "acquisition corp", "shell company", "holdings", "co", "blank check inc", "reit fund group"]
+TYPE_CODES = ["CS", "PFD", "WARRANT", "ETN", "ETF", "FUND", "INDEX", "ADRC", "cs", None, "BASKET"]
+EXCHANGES = ["XNYS", "XNAS", "", None, "ARCX"]
+MARKETS = ["stocks", "otc", "stocks", "fx"]
+SICS = ["6770", "6799", "3711", None, "2834", "1311"]
+
+
+def sql_list(values):
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
 @query(
     "security_classes",
-    with_(select=f"""
-SELECT CASE WHEN t ~ '\\betf\\b' THEN 'etf' WHEN t ~ '\\bpreferred\\b' THEN 'preferred_stock' WHEN t ~ '\\bwarrants\\b' THEN 'warrant' WHEN t ~ '\\bunits\\b' THEN 'unit' WHEN t ~ 'closed-end' THEN 'closed_end_fund'
-  WHEN t ~ 'acquisition corp' THEN 'spac' WHEN t ~ 'common stock' THEN 'common_stock' ELSE 'unknown' END AS security_class, count(*) AS parts
-FROM (SELECT lower(p_type || ' ' || p_name || ' ' || ({WORDS})[p_size % 8 + 1]) AS t FROM part) GROUP BY 1""").replace("WITH RECURSIVE \n", "").replace("~ '", "SIMILAR TO '.*").replace("' THEN", ".*' THEN"),
+    f"""
+WITH p AS (SELECT lower(p_name || ' ' || ({sql_list(NAME_WORDS)})[p_partkey % 16 + 1]) AS n, upper(coalesce(({sql_list(TYPE_CODES)})[p_partkey % 11 + 1], '')) AS k, coalesce(({sql_list(EXCHANGES)})[p_partkey // 7 % 5 + 1], '') AS x,
+  ({sql_list(MARKETS)})[p_partkey // 3 % 4 + 1] AS m, coalesce(({sql_list(SICS)})[p_partkey // 5 % 6 + 1], '') AS s, CASE WHEN p_size % 17 = 0 THEN 'Blank checks' ELSE p_type END AS sd, CASE WHEN p_size % 5 = 0 THEN 'Ordinary' ELSE 'Common Stock' END AS cd FROM part),
+c AS (SELECT *, regexp_matches(n, 'spac|blank check|blank-check|acquisition corp|acquisition company|hedosophia|social capital|special purpose|newmont acquisition') AS sp, n LIKE '%shell company%' OR trim(n) = 'shell' AS sh FROM p),
+d AS (SELECT *, CASE WHEN regexp_matches(n, 'etf|exchange traded fund') THEN 'ETF' WHEN regexp_matches(n, 'etn|exchange traded note') THEN 'ETN' WHEN regexp_matches(n, 'preferred stock|preference share|preferred share|preferred [abcd]') THEN 'preferred_stock'
+  WHEN n LIKE '%warrant%' THEN 'warrant' WHEN regexp_matches(n, ' right|rights') THEN 'right' WHEN n LIKE '%unit%' THEN 'unit' WHEN regexp_matches(n, 'closed-end|closed end|closedend|fnd') OR (n LIKE '%fund%' AND NOT regexp_matches(n, 'reit|investment trust|mutual')) THEN 'closed_end_fund'
+  WHEN sp THEN 'pre_merger_spac' WHEN sh THEN 'shell_company' END AS nc FROM c)
+SELECT CASE WHEN m = 'otc' OR x = '' THEN 'OTC' WHEN k IN ('PFD', 'ADRP') THEN 'preferred_stock' WHEN k IN ('WARRANT', 'ADRW') THEN 'warrant' WHEN k IN ('RIGHT', 'ADRR') THEN 'right' WHEN k = 'UNIT' THEN 'unit' WHEN k = 'ETN' THEN 'ETN'
+  WHEN k IN ('BOND', 'SP', 'ADRC', 'ETV', 'BASKET') THEN 'other_structurally_incomparable_securities' WHEN s = '6770' OR lower(sd) LIKE '%blank%' OR sp THEN 'pre_merger_spac' WHEN sh OR s = '6799' THEN 'shell_company' WHEN k = 'ETF' THEN 'ETF'
+  WHEN k = 'FUND' THEN CASE WHEN m = 'stocks' THEN 'closed_end_fund' ELSE 'other_structurally_incomparable_securities' END WHEN nc IS NOT NULL THEN nc
+  WHEN k = 'CS' AND lower(cd) LIKE '%common stock%' AND regexp_matches(n, 'inc|corp|company|plc|ltd|limited|holdings|group|enterprises') THEN 'common_stock' ELSE 'unknown' END AS security_class, count(*) AS parts
+FROM d GROUP BY 1""",
 )
 def _(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
-    word = F.element_at(F.array(*[F.lit(w) for w in WORDS]), F.col("p_size") % 8 + 1)
-    c = ds.security_class(F.concat_ws(" ", "p_name", word), F.col("p_type"))
+    pick = lambda values, at: F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.pmod(at, F.lit(len(values))).cast("int"))
+    key = F.col("p_partkey")
+    whole = lambda by: F.floor(key / by)
+    c = ds.security_class(
+        F.concat_ws(" ", "p_name", pick(NAME_WORDS, key)), pick(TYPE_CODES, key), pick(MARKETS, whole(3)), pick(EXCHANGES, whole(7)), pick(SICS, whole(5)),
+        F.when(F.col("p_size") % 17 == 0, "Blank checks").otherwise(F.col("p_type")), F.when(F.col("p_size") % 5 == 0, "Ordinary").otherwise("Common Stock"))
     return p.groupBy(c.alias("security_class")).agg(F.count(F.lit(1)).alias("parts"))
 
 

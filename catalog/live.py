@@ -55,7 +55,7 @@ COOL = AlertCooldowns(default_minutes=60, by_type={"coil": 240, "pattern": 30})
 ALERTS = """
 al AS MATERIALIZED (
   SELECT upper(event_type) AS ticker, CASE WHEN value < 10 THEN 'coil' WHEN value < 20 THEN 'confluence' WHEN value < 40 THEN 'pattern_runup' ELSE 'gap_large' END AS alert_type, epoch_us(ts) AS s, event_id % 5 <> 0 AS delivered, event_id FROM events),
-an AS MATERIALIZED (SELECT *, s + CASE WHEN delivered THEN CASE alert_type WHEN 'coil' THEN 14400 WHEN 'pattern_runup' THEN 1800 ELSE 3600 END * 1000000 ELSE 0 END AS f, row_number() OVER (PARTITION BY ticker, alert_type ORDER BY s, event_id) AS k FROM al),
+an AS MATERIALIZED (SELECT *, s + CASE WHEN delivered THEN CASE alert_type WHEN 'coil' THEN 14400 WHEN 'pattern_runup' THEN 1800 ELSE 3600 END * 1000000::BIGINT ELSE 0 END AS f, row_number() OVER (PARTITION BY ticker, alert_type ORDER BY s, event_id) AS k FROM al),
 wa AS (
   SELECT ticker, alert_type, k, f AS held, true AS open FROM an WHERE k = 1
   UNION ALL SELECT a.ticker, a.alert_type, a.k, CASE WHEN a.s >= w.held THEN a.f ELSE w.held END, a.s >= w.held FROM wa w JOIN an a ON a.ticker = w.ticker AND a.alert_type = w.alert_type AND a.k = w.k + 1)"""

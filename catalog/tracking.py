@@ -358,8 +358,8 @@ pe AS MATERIALIZED (
 pp AS (SELECT *, 'off' AS policy, true AS kept FROM pe UNION ALL SELECT *, 'market_rs', coalesce(bullish AND pos_rs, false) FROM pe),
 pk AS (SELECT split, policy, ticker, count(*) AS a, count(*) FILTER (kept) AS k, avg(net) FILTER (kept) AS m, sum(net) FILTER (kept) AS s, count(*) FILTER (kept AND net > 0) AS p FROM pp GROUP BY ALL)""",
         select=f"""
-SELECT split, policy, sum(k)::BIGINT AS eligible_events, {r('sum(k) / sum(a) * 100')} AS event_retention_pct, {r('avg((k > 0)::INT) * 100')} AS ticker_coverage_pct, {r('sum(s) / sum(k)', 3)} AS mean_net_return_pct,
-  {r('sum(p) / sum(k) * 100', 3)} AS positive_rate_pct, {r('avg(m)', 3)} AS mean_ticker_return_pct, {r('median(m)', 3)} AS median_ticker_return_pct FROM pk GROUP BY 1, 2"""),
+SELECT split, policy, sum(k)::BIGINT AS eligible_events, count(*) FILTER (k > 0) AS tickers, {r('sum(k) / sum(a) * 100')} AS event_retention_pct, {r('avg((k > 0)::INT) * 100')} AS ticker_coverage_pct, {r('sum(s) / sum(k)', 3)} AS mean_net_return_pct,
+  {r('sum(p) / sum(k) * 100', 3)} AS positive_rate_pct, {r('avg(m)', 3)} AS mean_ticker_return_pct, {r('median(m)', 3)} AS median_ticker_return_pct, {r('(SELECT median(net) FROM pp WHERE kept AND pp.split = pk.split AND pp.policy = pk.policy)', 3)} AS median_net_return_pct FROM pk GROUP BY 1, 2"""),
 )
 def _(spark, sf):
     from barloom.operators.blocks import block_window
