@@ -30,6 +30,18 @@ class WeeklySpec:
     bucket_edges: tuple[int, ...] = (0, 25, 40, 60, 80, 101)
     bootstrap_seed: int = 20260805
     bootstrap_resamples: int = 5_000
+    # Costs of the decision, sample minima and limits of the verdict.
+    decision_bps: float = 5.0
+    sensitivity_bps: float = 25.0
+    minimum_ticker_trades: int = 5
+    minimum_signals: int = 200
+    minimum_stock_tickers: int = 20
+    minimum_etf_tickers: int = 8
+    minimum_lift_bps: float = 50.0
+    support_q10_bps: float = 100.0
+    reject_q10_bps: float = 200.0
+    reject_lift_bps: float = 50.0
+    leading_share: float = 0.6
 
 
 def weekly_signals(weekly: DataFrame, spec: WeeklySpec, splits: Sequence[Split]) -> DataFrame:
@@ -186,9 +198,54 @@ def rule_lift(rows: DataFrame, value: str, min_trades: int = 5) -> DataFrame:
     )
 
 
-def conclusion(lift: DataFrame, bootstrap: DataFrame, minimum_lift_bps: float = 50.0, fraction: float = 0.6) -> DataFrame:
-    """Verdict per split and horizon from lift, its interval and the share of leading tickers."""
-    j = lift.join(bootstrap, ["split", "horizon"], "left")
-    strong = (F.col("pooled_lift_pct") * 100 >= minimum_lift_bps) & (F.col("ci_low") > 0) & (F.col("positive_fraction") >= fraction)
-    verdict = F.when(F.col("ci_low").isNull(), "inconclusive").when(strong, "supported").when(F.col("ci_high") < 0, "rejected").otherwise("inconclusive")
+def split_evidence(trades: DataFrame, spec: WeeklySpec) -> DataFrame:
+    """Per split, over complete trades of the first holding period with their ``cohort``: counts, lifts and shares of leading tickers.
+
+    Lifts are the candidate's mean less the baseline's, net at the decision cost and at the sensitivity cost; the q10 lift compares the
+    tenth percentiles. A ticker counts for a cohort's share only with enough trades of both rules; figures without a sample are null.
+    """
+    net, dear = f"net_return_pct_{slippage_key(spec.decision_bps)}bps", f"net_return_pct_{slippage_key(spec.sensitivity_bps)}bps"
+    rows = trades.filter((F.col("horizon") == spec.hold_weeks[0]) & (F.col("outcome_status") == "complete"))
+    of = lambda rule, c: F.when(F.col("rule") == rule, F.col(c))
+    per = rows.groupBy("split", "ticker", "cohort").agg(*[
+        f(of(rule, c)).alias(f"{rule}_{name}") for rule in ("candidate", "baseline")
+        for name, f, c in (("n", F.count, net), ("sum", F.sum, net), ("mean", F.avg, net), ("dear_n", F.count, dear), ("dear_sum", F.sum, dear))
+    ])
+    enough = (F.col("candidate_n") >= spec.minimum_ticker_trades) & (F.col("baseline_n") >= spec.minimum_ticker_trades)
+    leads = (F.col("candidate_mean") > F.col("baseline_mean")).cast("double")
+    mean = lambda rule, kind="": F.try_divide(F.sum(f"{rule}_{kind}sum"), F.sum(f"{rule}_{kind}n"))
+    out = per.groupBy("split").agg(
+        F.sum("candidate_n").alias("candidate_count"), F.sum("baseline_n").alias("baseline_count"), (mean("candidate") - mean("baseline")).alias("lift_pct"),
+        (mean("candidate", "dear_") - mean("baseline", "dear_")).alias("sensitivity_lift_pct"),
+        *[F.count_if((F.col(f"{rule}_n") > 0) & (F.col("cohort") == c)).alias(f"{rule}_{c}_tickers") for rule in ("candidate", "baseline") for c in ("stock", "etf")],
+        *[F.avg(F.when(enough & (F.col("cohort") == c), leads)).alias(f"leading_{c}_share") for c in ("stock", "etf")],
+    )
+    tails = exact_quantiles(rows, ["split", "rule"], net, {"q10": 0.1}).groupBy("split").agg(F.max(of("candidate", "q10")).alias("c"), F.max(of("baseline", "q10")).alias("b"))
+    return out.join(tails.select("split", (F.col("c") - F.col("b")).alias("q10_lift_pct")), "split", "left")
+
+
+def conclusion(evidence: DataFrame, bootstrap: DataFrame, spec: WeeklySpec) -> DataFrame:
+    """One row with the study's verdict from the holdout's evidence, its interval and the validation's direction.
+
+    Reasons to reject come first, then the sample minima, then everything support needs; a figure that is missing supports nothing.
+    """
+    hold = evidence.filter("split = 'holdout'").drop("split").withColumn("_one", F.lit(1))
+    interval = bootstrap.filter((F.col("split") == "holdout") & (F.col("horizon") == spec.hold_weeks[0])).select("ci_low", "ci_high", F.lit(1).alias("_one"))
+    check = evidence.filter("split = 'validation'").select(F.col("lift_pct").alias("validation_lift_pct"), F.lit(1).alias("_one"))
+    one = evidence.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    j = one.join(hold, "_one", "left").join(interval, "_one", "left").join(check, "_one", "left").drop("_one")
+    lift, q10 = F.col("lift_pct"), F.col("q10_lift_pct")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    reject = (
+        yes(F.col("ci_high") <= 0) | yes(lift <= -spec.reject_lift_bps / 100)
+        | (yes(q10 < -spec.reject_q10_bps / 100) & F.coalesce(lift <= 0, F.lit(True)))
+    )
+    sampled = (F.col("candidate_count") >= spec.minimum_signals) & (F.col("baseline_count") >= spec.minimum_signals)
+    for rule in ("candidate", "baseline"):
+        sampled = sampled & (F.col(f"{rule}_stock_tickers") >= spec.minimum_stock_tickers) & (F.col(f"{rule}_etf_tickers") >= spec.minimum_etf_tickers)
+    support = (
+        sampled & (lift >= spec.minimum_lift_bps / 100) & (F.col("ci_low") > 0) & (q10 >= -spec.support_q10_bps / 100) & (F.col("sensitivity_lift_pct") > 0)
+        & (F.col("leading_stock_share") >= spec.leading_share) & (F.col("leading_etf_share") >= spec.leading_share) & (F.col("validation_lift_pct") > 0)
+    )
+    verdict = F.when(reject, "reject_or_deprioritize").when(yes(support), "supports_further_research").otherwise("inconclusive")
     return j.withColumn("conclusion", verdict)

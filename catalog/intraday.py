@@ -279,11 +279,35 @@ def _(spark, sf):
     return tidy(wk.paired_clusters(weekly_rows(spark, sf, False), "gross_return_pct").drop("difference"), 3)
 
 
+SHARE = lambda c: f"avg((cm > bm)::INT) FILTER (cn >= 5 AND bn >= 5 AND cohort = '{c}')"
+EVIDENCE = f"""
+tn AS MATERIALIZED (SELECT split, ticker, CASE WHEN ticker LIKE '%5' THEN 'etf' ELSE 'stock' END AS cohort, rule, {WNET(10)} AS net, {WNET(25)} AS dear FROM wt WHERE status = 'complete' AND horizon = 13),
+ev AS (SELECT split, ticker, cohort, count(*) FILTER (rule = 'candidate') AS cn, avg(net) FILTER (rule = 'candidate') AS cm, count(*) FILTER (rule = 'baseline') AS bn, avg(net) FILTER (rule = 'baseline') AS bm FROM tn GROUP BY ALL),
+eg AS (SELECT split, avg(net) FILTER (rule = 'candidate') - avg(net) FILTER (rule = 'baseline') AS lift, avg(dear) FILTER (rule = 'candidate') - avg(dear) FILTER (rule = 'baseline') AS dl, quantile_cont(net, 0.1) FILTER (rule = 'candidate') - quantile_cont(net, 0.1) FILTER (rule = 'baseline') AS ql FROM tn GROUP BY 1)"""
+EVIDENCED = wk.WeeklySpec(decision_bps=10.0, minimum_signals=20, minimum_stock_tickers=5, minimum_etf_tickers=2)
+
+
+def weekly_evidence(spark, sf):
+    cohort = F.when(F.col("ticker").like("%5"), "etf").otherwise("stock")
+    return wk.split_evidence(weekly_rows(spark, sf, True).withColumn("cohort", cohort), EVIDENCED)
+
+
+@query(
+    "weekly_evidence",
+    with_(*WPARTS, EVIDENCE, select=f"""
+SELECT split, sum(cn)::BIGINT AS candidate_count, sum(bn)::BIGINT AS baseline_count, {r('any_value(lift)', 3)} AS lift_pct, {r('any_value(dl)', 3)} AS sensitivity_lift_pct, {r('any_value(ql)', 3)} AS q10_lift_pct,
+  count(*) FILTER (cn > 0 AND cohort = 'stock') AS candidate_stock_tickers, count(*) FILTER (cn > 0 AND cohort = 'etf') AS candidate_etf_tickers, count(*) FILTER (bn > 0 AND cohort = 'stock') AS baseline_stock_tickers, count(*) FILTER (bn > 0 AND cohort = 'etf') AS baseline_etf_tickers,
+  {r(SHARE('stock'), 3)} AS leading_stock_share, {r(SHARE('etf'), 3)} AS leading_etf_share FROM ev JOIN eg USING (split) GROUP BY 1"""),
+)
+def _(spark, sf):
+    return tidy(weekly_evidence(spark, sf), 3)
+
+
 @query("weekly_conclusion")
 def _(spark, sf):
-    e = weekly_rows(spark, sf, False)
-    boot = wk.paired_bootstrap(e, "gross_return_pct", wk.WeeklySpec(bootstrap_resamples=1_000))
-    return wk.conclusion(wk.rule_lift(e, "gross_return_pct"), boot)
+    """The study's verdict; the interval's draws are hashes that SQL engines do not share."""
+    boot = wk.paired_bootstrap(weekly_rows(spark, sf, True).filter("outcome_status = 'complete'"), "net_return_pct_10bps", EVIDENCED)
+    return wk.conclusion(weekly_evidence(spark, sf), boot, EVIDENCED)
 
 
 @query(

@@ -102,7 +102,7 @@ def _(spark, sf):
     """Interval of the mean return of qualifying observations under resampling of tickers."""
     obs = study(spark, sf)[2].filter("is_qualifying AND outcome_status = 'complete'")
     clusters = obs.groupBy("split", "event_type", F.col("ticker").alias("cluster")).agg(F.sum("net_return_pct_5bps").alias("s"), F.count(F.lit(1)).alias("n"))
-    return stats.cluster_bootstrap(settle(clusters), ["split", "event_type"], "s", "n", 1_000, 20260801)
+    return stats.cluster_bootstrap(settle(clusters), ["split", "event_type"], "s", "n", 5_000, 20260801)
 
 
 @query("pattern_gates")
