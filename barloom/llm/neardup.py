@@ -20,6 +20,8 @@ from .components import components
 WORDS, KEPT, SKETCHES = 5, 2, 48
 #: Edit similarity from which two texts are near duplicates.
 SIMILAR = 0.8
+#: Rounds of comparisons end when one adds less than this share of all links.
+CONVERGED = 0.005
 CHUNK = 4096
 # Odd multipliers for mixing 64-bit numbers.
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -165,13 +167,34 @@ def verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, out)
 
 
+def named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with a ``node`` and its component's label, at first itself."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def joined_labels(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Labels after new links: components are computed over the labels that the links join, not over all links again."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    now = named(ends, labels)
+    if labels is not None:
+        now = now.unionByName(labels.join(ends, "node", "left_anti"))
+    now = scratch.keep(now.select("node", "label"))
+    of = lambda c, name: now.select(F.col("node").alias(c), F.col("label").alias(name))
+    edges = links.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = components(edges, scratch).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return scratch.keep(now.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
 def near_classes(docs: DataFrame, scratch: Scratch, least: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id, class_docs, k1, k2`` (the last two: keys of the text) of every row; ``class_id`` is the smallest id of its class.
 
     Rows of equal text are one node. Nodes whose sketches agree somewhere are candidates: in every bucket, all members are compared
-    with one chosen member, and linked from the given edit similarity of their words (see ``edit_similarity``). Members left in other
-    components then meet another member, chosen anew by a hash, until a round finds no link; so no pairs within a bucket are listed,
-    and no member is left out for the size of its bucket. Classes are the components of all links.
+    with one chosen member, and linked from the given edit similarity of their words (see ``edit_similarity``). In buckets that still hold
+    several components, all members then meet another one, chosen anew by a hash, until a round adds less than ``CONVERGED`` of
+    the links; so no pairs within a bucket are listed, and no member is left out for the size of its bucket. Classes are the components
+    of all links.
 
     Words: runs of ASCII letters and digits and all other characters beyond ASCII, ASCII letters in lower case. Null texts are classes of their own; texts
     without words are linked to equal texts only. Rows with equal ids and different texts are told apart by text. Null ids are kept;
@@ -183,36 +206,32 @@ def near_classes(docs: DataFrame, scratch: Scratch, least: float = SIMILAR) -> D
     spread = nodes.select("node", "words", F.explode("marks").alias("mark"))
     shared = spread.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
     live = scratch.keep(spread.join(shared, "mark"))
-    some = nodes.select("node", "k1", "k2", "first_id")
-    links, tested, labels = None, None, None
-    turn = 0
+    needed = nodes.select("node", "k1", "k2", "first_id").join(live.select("node").distinct(), "node")
+    texts = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).join(needed, ["k1", "k2"]).filter("doc_id <=> first_id")
+    texts = scratch.keep(texts.groupBy("node").agg(F.first("text").alias("text")))
+    links, labels, turn = 0, None, 0
     while True:
-        members = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        members = named(live, labels)
         place = F.col("node") if turn == 0 else F.xxhash64("node", "mark", F.lit(turn))
         chosen = members.groupBy("mark").agg(F.min(F.struct(place.alias("place"), "node", "label", "words")).alias("c")).select("mark", F.col("c.node").alias("other"), F.col("c.label").alias("other_label"), F.col("c.words").alias("other_words"))
         met = members.join(chosen, "mark").filter("label <> other_label").filter(2 * F.least("words", "other_words") >= least * (F.col("words") + F.col("other_words")))
         pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        if pairs.isEmpty():
+        with_texts = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        found = scratch.keep(verified(with_texts, least))
+        new = found.count()
+        links += new
+        if new:
+            labels = joined_labels(found, labels, scratch)
+        if new <= CONVERGED * links and turn or not links:
             break
-        needed = some.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-        texts = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).join(needed, ["k1", "k2"]).filter("doc_id <=> first_id").groupBy("node").agg(F.first("text").alias("text"))
-        texts = scratch.keep(texts)
-        found = scratch.keep(verified(pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"), least))
-        scratch.drop(texts)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if found.isEmpty():
-            if turn:
-                break
-        else:
-            links = found if links is None else links.unionByName(found)
-            labels = scratch.keep(components(links, scratch))
+        mixed_marks = named(live, labels).groupBy("mark").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("mark")
+        before, live = live, scratch.keep(live.join(mixed_marks, "mark"))
+        scratch.drop(before)
         turn += 1
     scratch.drop(live)
+    scratch.drop(texts)
     labelled = nodes.select("node", "k1", "k2", "first_id", "copies")
-    labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = named(labelled, labels)
     classes = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_docs"))
     by_text = scratch.keep(labelled.join(classes, "label").select("k1", "k2", "class_id", "class_docs"))
     known = rows.select("doc_id", "k1", "k2").join(by_text, ["k1", "k2"]).select("doc_id", "class_id", "class_docs", "k1", "k2")
