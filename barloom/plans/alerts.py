@@ -15,11 +15,12 @@ COIL_MIN, CONFLUENCE_MIN, PATTERN_MIN = 60, 70, 75
 GAP_TIERS = ["large", "massive"]
 
 
-def normalize_key(df: DataFrame) -> DataFrame:
-    """Trimmed upper-case ticker, lower-case type and timeframe; malformed keys are dropped."""
+def normalize_key(df: DataFrame, malformed: bool = False) -> DataFrame:
+    """Trimmed upper-case ticker, lower-case type and timeframe; with ``malformed`` the rows whose key is none instead of the others."""
     out = df.withColumns({"ticker": F.upper(F.trim("ticker")), "alert_type": F.lower(F.trim("alert_type")), "timeframe": F.lower(F.trim("timeframe"))})
     ok = F.col("ticker").rlike(r"^[A-Z0-9][A-Z0-9.\-#]{0,14}$") & F.col("alert_type").rlike(r"^[a-z][a-z0-9_]*$") & F.col("timeframe").rlike(r"^[a-z0-9]+$")
-    return out.filter(ok)
+    ok = F.coalesce(ok, F.lit(False))
+    return out.filter(~ok if malformed else ok)
 
 
 def candidates(coils: DataFrame | None = None, confluence: DataFrame | None = None, matches: DataFrame | None = None, gaps: DataFrame | None = None, timeframe: str = "short") -> DataFrame:

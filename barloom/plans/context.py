@@ -99,7 +99,9 @@ def context_for_signals(signals: DataFrame, market: DataFrame, strength: DataFra
 
     ``market``: proxy regimes with column ``proxy``; ``signals`` carry ``ticker``, ``proxy`` and ``ts``.
     """
-    joined = as_of_join(signals, market, ["proxy"], ["regime_bullish"])
+    # one proxy serves a whole universe: its state is looked up once per instant, not once per signal
+    state = as_of_join(signals.select("proxy", "ts").distinct(), market, ["proxy"], ["regime_bullish"])
+    joined = signals.join(state, ["proxy", "ts"], "left")
     fresh = F.coalesce(business_days_between(F.to_date("asof_ts"), F.to_date("ts")) <= 2, F.lit(False))
     joined = joined.withColumn("_fresh", fresh).withColumn(
         "regime_bullish", F.when(F.col("_fresh"), F.col("regime_bullish"))
