@@ -247,9 +247,9 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     classes = scratch.keep(near_classes(docs, scratch))
     gone = classes.filter("not (doc_id <=> class_id)").select("doc_id", "k1", "k2").distinct()
     twice = classes.filter("doc_id <=> class_id and k1 is not null").groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    names, own = docs.columns, free_name(docs, "k")
-    with_keys = docs.withColumns({f"{own}1": F.xxhash64("text"), f"{own}2": F.xxhash64(F.lit("second"), "text", F.octet_length("text"))})
-    same = lambda t: docs["doc_id"].cast("bigint").eqNullSafe(t["doc_id"]) & (F.col(f"{own}1") == t["k1"]) & (F.col(f"{own}2") == t["k2"])
+    names, own = docs.columns, [free_name(docs, "own_key1"), free_name(docs, "own_key2")]
+    with_keys = docs.withColumns({own[0]: F.xxhash64("text"), own[1]: F.xxhash64(F.lit("second"), "text", F.octet_length("text"))})
+    same = lambda t: docs["doc_id"].cast("bigint").eqNullSafe(t["doc_id"]) & (F.col(own[0]) == t["k1"]) & (F.col(own[1]) == t["k2"])
     if twice.isEmpty():
         return with_keys.join(gone, same(gone), "left_anti").select(*names)
     both = scratch.keep(gone.unionByName(twice))
