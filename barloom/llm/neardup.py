@@ -20,8 +20,12 @@ from .components import components
 WORDS, KEPT, SKETCHES = 5, 2, 48
 #: Edit similarity from which two texts are near duplicates.
 SIMILAR = 0.8
-#: Rounds of comparisons end when one adds less than this share of all links.
+#: When a round of comparisons adds less than this share of all links, what is still untested is compared pair by pair.
 CONVERGED = 0.005
+#: Buckets of up to so many untested members are compared member by member, larger ones by their rarest words.
+FEW = 32
+#: Words whose counts set the order of rarity, and members of one that a task compares at a time.
+COUNTED, PART = 65_536, 1024
 CHUNK = 4096
 # Odd multipliers for mixing 64-bit numbers.
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -187,14 +191,84 @@ def joined_labels(links: DataFrame, labels: DataFrame | None, scratch: Scratch)
     return scratch.keep(now.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def fits(least: float) -> F.Column:
+    """Whether the lengths ``words`` and ``other_words`` allow a similarity of ``least``."""
+    return 2 * F.least("words", "other_words") >= least * (F.col("words") + F.col("other_words"))
+
+
+def word_marks(texts: DataFrame, counts: dict[int, int] | None = None, least: float = SIMILAR) -> DataFrame:
+    """``node, token, short, parts``: words with their occurrence numbers, so that common ones of two texts can be counted as equal tokens.
+
+    With ``counts`` only the rarest of a text, in an order that is the same for all. Of two texts of this similarity at least
+    ``least`` of the shorter one's words and ``least / (2 - least)`` of the longer one's are common to both; take one word more of each than
+    may be missing, the rarest, and they share a token. ``short`` are those needed of the shorter text. ``parts`` says into how many
+    parts the texts of a common token are to be cut.
+    """
+    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("token", T.LongType()), T.StructField("short", T.BooleanType()), T.StructField("parts", T.LongType())])
+    sent = None if counts is None else texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = WordNumbers()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, np.int64)]]
+                for node, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
+                    words = byte_words(text)
+                    n = len(words)
+                    tokens = kmers(np.fromiter(map(numbers.__getitem__, words), np.uint64, n), 1).view(np.int64)
+                    often = np.zeros(n, np.int64)
+                    if sent is not None:
+                        often = np.fromiter((sent.value.get(t, 0) for t in tokens.tolist()), np.int64, n)
+                        # One word more than needed at both ends: rounding of the thresholds loses none.
+                        order = np.lexsort((tokens, often))[:min(n, n - int(least / (2 - least) * n) + 2)]
+                        tokens, often = tokens[order], often[order]
+                    for column, x in zip(columns, (np.full(len(tokens), node, np.int64), tokens, np.arange(len(tokens)) < n - int(least * n) + 2, often // PART + 1)):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=out.names)
+    return texts.select("node", "text").mapInArrow(run, out)
+
+
+def untested(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of buckets that still hold several components, with ``size``, the number of the bucket's members."""
+    members = named(live, labels)
+    sizes = members.groupBy("mark").agg(F.count(F.lit(1)).alias("size"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("mark", "size")
+    return members.join(sizes, "mark")
+
+
+def small_pairs(members: DataFrame, least: float) -> DataFrame:
+    """All pairs ``a, b`` within the buckets of ``members`` that are in different components."""
+    others = members.select("mark", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("words").alias("other_words"))
+    met = members.join(others, "mark").filter("node < other and label <> other_label").filter(fits(least))
+    return met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def hot_pairs(members: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """All pairs ``a, b`` of ``members`` in different components that can reach ``least`` by the words that they have in common."""
+    nodes = scratch.keep(members.select("node", "label", "words").distinct())
+    of = scratch.keep(texts.join(nodes.select("node"), "node"))
+    counted = word_marks(of).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(COUNTED)
+    marks = scratch.keep(word_marks(of, {r["token"]: r["n"] for r in counted.collect()}, least).join(nodes, "node"))
+    short = marks.filter("short").select("token", "node", "label", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    long = marks.select("token", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("words").alias("other_words"), F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    met = short.join(long, ["token", "part"]).filter("words <= other_words and label <> other_label").filter(fits(least))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, scratch: Scratch, least: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id, class_docs, k1, k2`` (the last two: keys of the text) of every row; ``class_id`` is the smallest id of its class.
 
     Rows of equal text are one node. Nodes whose sketches agree somewhere are candidates: in every bucket, all members are compared
-    with one chosen member, and linked from the given edit similarity of their words (see ``edit_similarity``). In buckets that still hold
-    several components, all members then meet another one, chosen anew by a hash, until a round adds less than ``CONVERGED`` of
-    the links; so no pairs within a bucket are listed, and no member is left out for the size of its bucket. Classes are the components
-    of all links.
+    with one chosen member, and linked from the given edit similarity of their words (see ``edit_similarity``). The chosen member, then
+    tested, leaves its bucket. In buckets that still hold several components, all members then meet another one, chosen anew by a hash, until a
+    round adds less than ``CONVERGED`` of the links. What is then untested in different components is compared pair by pair: in buckets of
+    ``FEW`` members all pairs, in larger ones those that can reach the similarity by their rarest words (``word_marks``; it loses none). So no candidate
+    pair of different components is left. Classes are the components of all links.
 
     Words: runs of ASCII letters and digits and all other characters beyond ASCII, ASCII letters in lower case. Null texts are classes of their own; texts
     without words are linked to equal texts only. Rows with equal ids and different texts are told apart by text. Null ids are kept;
@@ -209,25 +283,34 @@ def near_classes(docs: DataFrame, scratch: Scratch, least: float = SIMILAR) -> D
     needed = nodes.select("node", "k1", "k2", "first_id").join(live.select("node").distinct(), "node")
     texts = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).join(needed, ["k1", "k2"]).filter("doc_id <=> first_id")
     texts = scratch.keep(texts.groupBy("node").agg(F.first("text").alias("text")))
+
+    def link(pairs: DataFrame, labels: DataFrame | None) -> tuple[int, DataFrame | None]:
+        found = scratch.keep(verified(with_texts(pairs, texts), least))
+        new = found.count()
+        return new, joined_labels(found, labels, scratch) if new else labels
+
     links, labels, turn = 0, None, 0
     while True:
         members = named(live, labels)
         place = F.col("node") if turn == 0 else F.xxhash64("node", "mark", F.lit(turn))
         chosen = members.groupBy("mark").agg(F.min(F.struct(place.alias("place"), "node", "label", "words")).alias("c")).select("mark", F.col("c.node").alias("other"), F.col("c.label").alias("other_label"), F.col("c.words").alias("other_words"))
-        met = members.join(chosen, "mark").filter("label <> other_label").filter(2 * F.least("words", "other_words") >= least * (F.col("words") + F.col("other_words")))
-        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        with_texts = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        found = scratch.keep(verified(with_texts, least))
-        new = found.count()
+        met = members.join(chosen, "mark").filter("label <> other_label").filter(fits(least))
+        new, labels = link(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), labels)
         links += new
-        if new:
-            labels = joined_labels(found, labels, scratch)
-        if new <= CONVERGED * links and turn or not links:
-            break
-        mixed_marks = named(live, labels).groupBy("mark").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("mark")
-        before, live = live, scratch.keep(live.join(mixed_marks, "mark"))
+        # The chosen member has met all others of its bucket; without it, a bucket of two holds no pair.
+        state = named(live, labels).groupBy("mark").agg((F.min("label") != F.max("label")).alias("mixed"), F.count(F.lit(1)).alias("n"), F.min(F.struct(place.alias("place"), "node")).alias("c"))
+        open_marks = state.filter("mixed and n > 2").select("mark", F.col("c.node").alias("tested"))
+        before, live = live, scratch.keep(live.join(open_marks, "mark").filter("node <> tested").drop("tested"))
         scratch.drop(before)
+        if new <= CONVERGED * links and turn or not links or live.isEmpty():
+            break
         turn += 1
+    few = untested(live, labels).filter(F.col("size") <= FEW)
+    if not few.isEmpty():
+        labels = link(small_pairs(few, least), labels)[1]
+    hot = untested(live, labels).filter(F.col("size") > FEW)
+    if not hot.isEmpty():
+        labels = link(hot_pairs(hot, texts, least, scratch), labels)[1]
     scratch.drop(live)
     scratch.drop(texts)
     labelled = nodes.select("node", "k1", "k2", "first_id", "copies")
