@@ -2,8 +2,8 @@
 
 Every dimension is a term. In a block of vectors, the posting of a term holds its components; its score bound for a query is the
 largest contribution that the block allows. Terms are split by their bounds: those whose bounds together stay below the query's
-k-th score so far are non-essential. Only vectors to which an essential term contributes are traversed; the others are probed
-term by term in descending bound while a vector can still reach the k-th score.
+k-th score so far are non-essential. Only vectors to which an essential term contributes are traversed (all, while the k-th score is not
+positive); the others are probed term by term in descending bound while a vector can still reach the k-th score.
 """
 from __future__ import annotations
 
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 BLOCK_QUERIES = 8192
 #: Vectors whose postings a task holds at a time.
 BLOCK_VECTORS = 4096
-#: Scaled components must stay below this, so that sums of products fit 64 bits.
-LARGEST = 1 << 27
+#: Scores that may reach this are summed as Python integers.
+LARGEST = float(1 << 62)
 
 RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
@@ -33,23 +33,28 @@ class Postings:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.terms = ids, np.ascontiguousarray(vectors.T)
         self.low, self.high = self.terms.min(axis=1), self.terms.max(axis=1)
+        self.largest = max(-float(self.low.min()), float(self.high.max()))
 
     def search(self, own: int, query: np.ndarray, best: list[tuple[int, int]], k: int) -> None:
         """Puts what belongs to the k best into ``best``, a heap of (score, -vec_id)."""
         terms = np.flatnonzero(query[:len(self.terms)])
-        weights = query[terms]
-        bounds = np.maximum(np.maximum(weights * self.low[terms], weights * self.high[terms]), 0)
+        weights, held, low, high = query[terms], self.terms, self.low, self.high
+        if self.largest * np.abs(weights.astype(float)).sum() >= LARGEST:
+            weights, held, low, high = (x.astype(object) for x in (weights, held, low, high))
+        bounds = np.maximum(np.maximum(weights * low[terms], weights * high[terms]), 0)
         order = np.argsort(bounds, kind="stable")
         below = np.cumsum(bounds[order])
         floor = best[0][0] if len(best) == k else None
-        split = 0 if floor is None else int(np.searchsorted(below, floor, side="left"))
+        # A vector without any positive part scores 0 or less: up to a floor of 0 such vectors count too, and none can be passed over.
+        every = floor is None or floor <= 0
+        split = 0 if every else int(np.searchsorted(below, floor, side="left"))
         essential, others = order[split:], order[:split][::-1]
-        if not len(essential) and floor is not None:
+        if not len(essential) and not every:
             return
-        score = np.zeros(len(self.ids), np.int64)
-        touched = np.full(len(self.ids), floor is None)
+        score = np.zeros(len(self.ids), held.dtype)
+        touched = np.full(len(self.ids), every)
         for t in essential:
-            part = self.terms[terms[t]] * weights[t]
+            part = held[terms[t]] * weights[t]
             score += part
             touched |= part > 0
         at = np.flatnonzero(touched & (self.ids != own))
@@ -60,10 +65,10 @@ class Postings:
                 at, score = at[alive], score[alive]
             if not len(at):
                 return
-            score = score + self.terms[terms[t]][at] * weights[t]
+            score = score + held[terms[t]][at] * weights[t]
             rest -= int(bounds[t])
         if len(score) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            keep = score >= (np.sort(score) if score.dtype == object else np.partition(score, len(score) - k))[len(score) - k]
             at, score = at[keep], score[keep]
         for s, i in zip(score.tolist(), self.ids[at].tolist()):
             if len(best) < k:
@@ -75,11 +80,12 @@ class Postings:
 def scaled(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """``vec_id`` and the components floor(scale * x) as integers.
 
-    Left out: null vectors and ids, and vectors with a null, non-finite or (scaled, beyond 2**27) overlong component. Empty vectors stay.
+    Left out: null vectors and ids, and vectors with a null or non-finite component. Empty vectors stay. A finite component that is no
+    bigint when scaled is an error, as in SQL; so is a result's score that is none.
     """
-    v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
     raw = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
-    good = F.forall(raw, lambda x: F.coalesce((x > -LARGEST) & (x < LARGEST), F.lit(False)))
+    good = F.forall(F.col(vector), lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    v = F.transform(raw, lambda x: F.when(F.abs(x) < float(1 << 63), F.floor(x)).otherwise(F.raise_error(F.lit("a scaled component is beyond bigint")).cast("bigint")))
     return df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), v).alias("v")).filter("vec_id is not null and v is not null")
 
 
