@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import Scratch
 
-from . import contamination, language, neardup, packing, passages, secrets, sharding, topk, toxicity, warc
+from . import contamination, language, nearest, neardup, packing, passages, secrets, sharding, tokenlinks, topk, toxicity, warc, whitening
 from .common import documents
 
 QUERIES: dict = {}
@@ -109,6 +109,25 @@ def op4(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir), Scratch(spark)).select("doc_id", "number", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
+@query("op11_adaptive_dimension_scan")
+def op11(spark, sf_dir):
+    """The five nearest vectors found for every fiftieth one."""
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, Scratch(spark))
+
+
+@query("op12_external_spill_alignment")
+def op12(spark, sf_dir):
+    """Every document's alignment of two tokenizers, and what the corpus-wide pair counts say about it."""
+    return tokenlinks.align(documents(spark, sf_dir), Scratch(spark))
+
+
+@query("op13_bidiagonal_qd_whitening")
+def op13(spark, sf_dir):
+    """Every vector's four whitened components."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """Documents through all five stages."""
