@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..config import IntradayWeights, LongWeights, ShortWeights
 from .blocks import block_window, number_rows
-from .ranks import trailing_rank
 
 SHORT_COMPONENTS = ["ema_structure", "volume_confirmation", "rsi_momentum", "macd_positive", "pullback_ema"]
 
@@ -109,18 +108,15 @@ def add_long_score(df: DataFrame, weights: LongWeights = LongWeights()) -> DataF
     return df.withColumns({"score": _capped([F.col(p) for p in points]), "reasons": reasons})
 
 
-def add_score_inputs(df: DataFrame, keys: Sequence[str] = ("ticker",), rank_rows: int | None = None) -> DataFrame:
-    """Previous histogram, 8-bar mean volume ratio and, with ``rank_rows``, the trailing width rank of every bar."""
+def add_score_inputs(df: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Previous histogram and 8-bar mean volume ratio."""
     w = block_window(keys)
-    df = df.withColumns(
+    return df.withColumns(
         {
             "previous_diff": F.lag("macd_diff").over(w),
             "volume_ratio_8": F.avg("volume_ratio").over(w.rowsBetween(-7, 0)),
         }
     )
-    if rank_rows:
-        df = df.withColumn("bb_width_rank", trailing_rank("bb_width", w.rowsBetween(-(rank_rows - 1), 0)))
-    return df
 
 
 SIZE = "series_rows"

@@ -1,10 +1,16 @@
 """Group statistics that stay exact and spread out when one group holds most rows."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .sorted_groups import groups_of
 
 BUCKETS_PER_UNIT = 200.0
 
@@ -101,30 +107,67 @@ def on_scaffold(scaffold: DataFrame, metrics: DataFrame, groups: Sequence[str])
     )
 
 
+#: Replicates that a task draws.
+REPLICATES = 250
+
+
+def draws(seed: int, replicate: int, size: int) -> np.ndarray:
+    """The members that a replicate takes, with replacement: 32-bit words of md5 over ``seed:replicate:number``, modulo the size."""
+    words = b"".join(hashlib.md5(f"{seed}:{replicate}:{i}".encode()).digest() for i in range(-(-size // 4)))
+    return np.frombuffer(words, ">u4")[:size] % size
+
+
+def resampled(clusters: DataFrame, by: Sequence[str], sums: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """``by, replicate`` and the sums of every resample of a group's clusters, all columns over the same draws.
+
+    ``clusters`` holds one row per (by, cluster), collapsed beforehand. A group's clusters go once to each of its blocks of ``REPLICATES``
+    replicates; there a replicate counts how often it draws each cluster, and its sums are one product of counts and values. Rows of
+    replicates by clusters are never made. Clusters are numbered in the order of their names.
+    """
+    by, sums = list(by), list(sums)
+    last = replicates - 1
+    spread = clusters.select(*by, F.explode(F.sequence(F.lit(0), F.lit(last // REPLICATES))).alias("_part"), "cluster", *[F.col(c).cast("double").alias(c) for c in sums])
+    schema = T.StructType([*[clusters.schema[c] for c in by], T.StructField("replicate", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in sums]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, table in groups_of(batches, len(by) + 1):
+            values = np.column_stack([table.column(c).to_numpy() for c in sums])
+            first = key[-1] * REPLICATES
+            taken = range(first, min(first + REPLICATES, last + 1))
+            found = np.array([np.bincount(draws(seed, r, len(values)), minlength=len(values)) @ values for r in taken])
+            keys = [table.column(c).combine_chunks().take(pa.array([0] * len(taken))) for c in by]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(taken, pa.int32()), *[pa.array(found[:, i]) for i in range(len(sums))]], names=schema.names)
+
+    return spread.repartition(*by, "_part").sortWithinPartitions(*by, "_part", "cluster").mapInArrow(run, schema)
+
+
+def interval(replicated: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+    """The 2.5th and 97.5th percentiles of a figure over the replicates in which it can be computed."""
+    ends = F.percentile("_x", F.array(F.lit(0.025), F.lit(0.975)))
+    return replicated.withColumn("_x", value).filter(F.col("_x").isNotNull()).groupBy(*by).agg(ends.alias("_ci"), F.count(F.lit(1)).alias("replicates")).select(
+        *by, F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"), "replicates")
+
+
 def cluster_bootstrap(
     clusters: DataFrame, by: Sequence[str], numerator: str, denominator: str, replicates: int, seed: int
 ) -> DataFrame:
-    """Percentile interval of a pooled mean under resampling of clusters with replacement.
+    """Percentile interval of a pooled mean under resampling of clusters with replacement, with the mean itself."""
+    by = list(by)
+    mean = F.try_divide(numerator, denominator)
+    point = clusters.groupBy(*by).agg(F.try_divide(F.sum(numerator), F.sum(denominator)).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
+    return point.join(interval(resampled(clusters, by, [numerator, denominator], replicates, seed), by, mean), by, "left")
+
 
-    ``clusters`` holds one row per (by, cluster): sums and counts, collapsed beforehand. Draw k of
-    replicate r takes cluster ``hash(seed, r, k) mod T``; the join fans out over replicates, and a
-    replicate is reduced to two sums map-side.
+def lift_bootstrap(clusters: DataFrame, by: Sequence[str], replicates: int, seed: int, scale: float = 100.0) -> DataFrame:
+    """Difference of two pooled means, and its interval over resamples of the clusters that both sides hold.
+
+    ``clusters`` has ``sum, n`` of one side and ``other_sum, other_n`` of the other, missing or 0 where a side lacks the cluster. The estimate pools
+    all clusters of each side; a resample takes both sides' rows of every cluster drawn. Without a common cluster all is null.
     """
-    by = list(by)
-    order = Window.partitionBy(*by).orderBy("cluster")
-    indexed = clusters.withColumn("_i", F.row_number().over(order) - 1)
-    sizes = indexed.groupBy(*by).agg(F.count(F.lit(1)).alias("_t"))
-    draws = (
-        sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_t").cast("int") - 1)))
-        .withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "_r", "_k"), F.col("_t")))
-    )
-    means = (
-        draws.select(*by, "_r", "_i").join(indexed.select(*by, "_i", numerator, denominator), [*by, "_i"])
-        .groupBy(*by, "_r").agg((F.sum(numerator) / F.sum(denominator)).alias("_mean"))
-    )
-    interval = means.groupBy(*by).agg(
-        F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"), F.count(F.lit(1)).alias("replicates")
-    )
-    point = clusters.groupBy(*by).agg((F.sum(numerator) / F.sum(denominator)).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
-    return point.join(interval, by).withColumns({"ci_low": F.col("_ci")[0], "ci_high": F.col("_ci")[1]}).drop("_ci")
+    by, columns = list(by), ["sum", "n", "other_sum", "other_n"]
+    filled = clusters.select(*by, "cluster", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    both = (F.col("n") > 0) & (F.col("other_n") > 0)
+    lift = lambda f: (F.try_divide(f("sum"), f("n")) - F.try_divide(f("other_sum"), f("other_n"))) * scale
+    point = filled.groupBy(*by).agg(lift(F.sum).alias("_all"), F.count_if(both).alias("common_clusters"))
+    point = point.select(*by, F.when(F.col("common_clusters") > 0, F.col("_all")).alias("lift"), "common_clusters")
+    return point.join(interval(resampled(filled.filter(both), by, columns, replicates, seed), by, lift(F.col)), by, "left")

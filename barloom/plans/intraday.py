@@ -14,8 +14,9 @@ from ..operators.blocks import block_window, number_rows, owned, place_rows, run
 from ..operators.calendar import local_day, local_minute
 from ..operators.indicators import with_indicators
 from ..operators.quality import invalid_ohlc
-from ..operators.ranks import trailing_rank
+from ..operators.ranks import expanding_rank
 from ..operators.scores import add_intraday_score
+from ..session import settle
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,6 @@ class SessionSpec:
     prior_close_min: float = 5.0
     prior_dollar_volume_min: float = 50_000_000.0
     score_min: int = 40
-    rank_rows: int = 1_638
 
 
 # Security types that never trade in the study.
@@ -182,12 +182,8 @@ def reclaim_signals(bars: DataFrame, drives: DataFrame, spec: SessionSpec, strat
 def score_signals(bars: DataFrame, spec: SessionSpec, strategy: str = "baseline_a") -> DataFrame:
     """First bar completing in the window whose intraday score reaches the minimum (20 earlier bars needed)."""
     valid = bars.filter("valid").select("ticker", F.col("bar_start").alias("ts"), "session_date", "grid_idx", "open", "high", "low", "close", "volume")
-    laid = with_indicators(valid, ("ticker",))
-    w = block_window(["ticker"])
-    laid = laid.withColumns(
-        {"previous_diff": F.lag("macd_diff").over(w), "bb_width_rank": trailing_rank("bb_width", w.rowsBetween(-(spec.rank_rows - 1), 0))}
-    )
-    scored = add_intraday_score(owned(laid))
+    laid = with_indicators(valid, ("ticker",)).withColumn("previous_diff", F.lag("macd_diff").over(block_window(["ticker"])))
+    scored = add_intraday_score(expanding_rank(settle(owned(laid)), ["ticker"], "bb_width"))
     done = local_minute("ts") + spec.bar_minutes
     hit = scored.filter((done >= spec.window_start) & (done <= spec.window_end) & (F.col("pos") >= 20) & (F.col("score") >= spec.score_min))
     first = hit.groupBy(*SESSION).agg(F.min_by(F.struct("grid_idx", "low", "close", "score"), "grid_idx").alias("b"))

@@ -271,15 +271,15 @@ def executable_trades(obs: DataFrame, holding: int) -> DataFrame:
 
 
 def matched_controls(obs: DataFrame, seed: int) -> DataFrame:
-    """As many non-signals as signals per (ticker, split, year, event type), drawn by a seeded hash.
+    """As many non-signals as signals per (ticker, split, year, event type), those of the smallest md5 over ``seed:ticker:date``.
 
     Ranks are taken inside hash slices with carried counts, so a hot cell is not sorted in one task.
     """
     cell = ["ticker", "split", "event_type", "year"]
     tagged = obs.filter("outcome_status = 'complete'").withColumn("year", F.year("decision_date"))
     wanted = tagged.groupBy(*cell).agg(F.count_if("is_qualifying").alias("signals"), F.count_if(~F.col("is_qualifying")).alias("pool"))
-    pool = tagged.filter(~F.col("is_qualifying")).withColumn("_h", F.xxhash64(F.lit(seed), "ticker", "decision_date"))
-    pool = pool.withColumn("_slice", F.shiftright("_h", 56))
+    pool = tagged.filter(~F.col("is_qualifying")).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "ticker", F.col("decision_date").cast("string")).cast("binary")))
+    pool = pool.withColumn("_slice", F.substring("_h", 1, 2))
     below = Window.partitionBy(*cell).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = pool.groupBy(*cell, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
         *cell, "_slice", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_base")
@@ -325,13 +325,6 @@ def pooled_and_ticker_rows(obs: DataFrame, value: str) -> DataFrame:
     )
 
 
-def gate_report(metrics: DataFrame, gates: dict[str, Column]) -> DataFrame:
-    """Evidence gates over a metric row: one row per gate; NULL = not computable."""
-    rows = F.array(*[F.struct(F.lit(n).alias("gate"), c.alias("passed")) for n, c in gates.items()])
-    keys = [c for c in ("event_type", "split") if c in metrics.columns]
-    return metrics.select(*keys, F.explode(rows).alias("g")).select(*keys, "g.gate", "g.passed")
-
-
 def ticker_metrics(obs: DataFrame, value: str) -> DataFrame:
     """Per ticker: observations, signals, mean signal and baseline return, lift in basis points, win rate."""
     done = F.col("outcome_status") == "complete"

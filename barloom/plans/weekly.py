@@ -13,10 +13,10 @@ from ..operators.blocks import block_window, number_rows, owned, running_peak, r
 from ..operators.calendar import in_split
 from ..operators.greedy import choose_non_overlapping
 from ..operators.indicators import with_indicators
+from ..operators.ranks import expanding_rank
 from ..operators.scores import add_long_score, add_score_inputs
 from ..operators.stats import cluster_bootstrap, exact_quantiles
-
-RANK_ROWS = 5_000  # a century of weeks: the rank frame is the whole past
+from ..session import settle
 
 
 @dataclass(frozen=True)
@@ -47,14 +47,13 @@ class WeeklySpec:
 def weekly_signals(weekly: DataFrame, spec: WeeklySpec, splits: Sequence[Split]) -> DataFrame:
     """Every evaluated week with both rules' flags and the entry and exit weeks ahead."""
     w = block_window(["ticker"])
-    laid = add_score_inputs(with_indicators(weekly, ("ticker",), max(spec.hold_weeks) + 1), ["ticker"], RANK_ROWS)
-    scored = add_long_score(laid)
+    laid = add_score_inputs(with_indicators(weekly, ("ticker",), max(spec.hold_weeks) + 1), ["ticker"])
     sma = F.when(F.col("pos") >= spec.sma_weeks - 1, F.avg("close").over(w.rowsBetween(-(spec.sma_weeks - 1), 0)))
     ahead = {"sma": sma, "entry_open": F.lead("open", 1).over(w), "entry_at": F.lead("first_session_open_time", 1).over(w), "entry_week": F.lead("ts", 1).over(w)}
     for h in spec.hold_weeks:
         ahead[f"exit_close_{h}"] = F.lead("close", h + 1).over(w)
         ahead[f"exit_week_{h}"] = F.lead("ts", h + 1).over(w)
-    rows = owned(scored.withColumns(ahead)).filter(F.col("pos") >= spec.min_bars - 1)
+    rows = add_long_score(expanding_rank(settle(owned(laid.withColumns(ahead))), ["ticker"], "bb_width")).filter(F.col("pos") >= spec.min_bars - 1)
     rows = rows.withColumn("split", in_split(F.to_date("ts"), splits)).filter(F.col("split").isNotNull())
     candidate = F.coalesce(F.col("score") >= spec.threshold, F.lit(False))
     baseline = F.coalesce(F.col("close") > F.col("sma"), F.lit(False))

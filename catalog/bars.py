@@ -8,9 +8,10 @@ from barloom.operators import calendar as cal
 from barloom.operators import quality as q
 from barloom.operators.blocks import number_rows, owned
 from barloom.operators.indicators import INDICATOR_COLUMNS, indicator_frame, with_indicators
-from barloom.operators.ranks import last_bar_rank
+from barloom.operators.ranks import expanding_rank, last_bar_rank
 from barloom.operators.scores import SHORT_COMPONENTS, SIZE, add_long_score, add_score_inputs, add_short_score, latest_bar
 from barloom.plans.screener import latest_scores
+from barloom.session import settle
 from barloom.sources import bars as src
 from oracle.sql import DAILY, day, event_bars, indicators, minute, numbered, r, short_scores, with_
 
@@ -318,9 +319,9 @@ lr AS MATERIALIZED (
 
 
 def weekly_scored(spark, sf):
-    """Long score at every weekly bar; a century of weeks fits one block, so the rank frame is the whole past."""
-    laid = with_indicators(weekly(spark, sf))
-    return owned(add_long_score(add_score_inputs(laid, ["ticker"], rank_rows=5_000)))
+    """Long score at every weekly bar, its band width ranked among the whole past."""
+    rows = settle(owned(add_score_inputs(with_indicators(weekly(spark, sf)))))
+    return add_long_score(expanding_rank(rows, ["ticker"], "bb_width"))
 
 
 @query(

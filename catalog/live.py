@@ -1,23 +1,19 @@
-"""Streams, alert cooldowns, stored tables, bootstraps and gates."""
+"""Streams, alert cooldowns and stored tables."""
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import functions as F
 
-from barloom.config import AlertCooldowns, SIMILARITY_WEIGHTS
-from barloom.operators import stats
+from barloom.config import AlertCooldowns
 from barloom.plans import alerts as al
-from barloom.plans import context as cx
-from barloom.plans import patterns as pt
-from barloom.session import checkpoint_dir, settle
+from barloom.session import checkpoint_dir
 from barloom.sinks import tables as tb
 from barloom.sources import bars as src
 from barloom.streaming import bars as sb
 from oracle.sql import day, event_bars, minute, r, with_
 
 from .base import query, tidy
-from .patterns import HOLD, study
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -95,26 +91,3 @@ def _(spark, sf):
     t = F.lit("2024-01-01").cast("timestamp")
     members = c.select(F.col("c_mktsegment").alias("name"), F.col("c_name").alias("ticker"), F.col("c_custkey").cast("int").alias("pos"), t.alias("created_at"), t.alias("updated_at"))
     return tb.list_watchlists(members).select("name", "tickers")
-
-
-@query("pattern_bootstrap")
-def _(spark, sf):
-    """Interval of the mean return of qualifying observations under resampling of tickers."""
-    obs = study(spark, sf)[2].filter("is_qualifying AND outcome_status = 'complete'")
-    clusters = obs.groupBy("split", "event_type", F.col("ticker").alias("cluster")).agg(F.sum("net_return_pct_5bps").alias("s"), F.count(F.lit(1)).alias("n"))
-    return stats.cluster_bootstrap(settle(clusters), ["split", "event_type"], "s", "n", 5_000, 20260801)
-
-
-@query("pattern_gates")
-def _(spark, sf):
-    """Evidence gates of the pattern study per event type on the holdout split."""
-    obs = study(spark, sf)[2].filter("split = 'holdout' AND outcome_status = 'complete'")
-    q = F.col("is_qualifying")
-    x = F.col("net_return_pct_5bps")
-    per = obs.groupBy("split", "event_type", "ticker").agg(F.count_if(q).alias("n"), F.sum(F.when(q, x)).alias("s"), F.avg(F.when(q, x)).alias("m"), F.avg(x).alias("base"))
-    m = per.groupBy("split", "event_type").agg(
-        F.sum("n").alias("signals"), F.count_if(F.col("n") > 0).alias("tickers"), (F.sum("s") / F.sum("n")).alias("mean"), F.median(F.col("m") - F.col("base")).alias("median_lift"),
-        F.avg((F.col("m") > 0).cast("double")).alias("positive_tickers"), (F.max("n") / F.sum("n")).alias("concentration"))
-    gates = {"signals": F.col("signals") >= 100, "tickers": F.col("tickers") >= 15, "positive_mean": F.col("mean") > 0, "positive_median_lift": F.col("median_lift") > 0,
-             "positive_tickers": F.col("positive_tickers") >= 0.55, "concentration": F.col("concentration") <= 0.2}
-    return pt.gate_report(m, gates)

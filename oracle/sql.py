@@ -104,3 +104,15 @@ def day(expr: str) -> str:
 
 def minute(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M')"
+
+
+def bootstrap(clusters: str, by: str, sums: list[str], replicates: int, seed: int, name: str) -> str:
+    """Sums of every resample of a group's clusters, drawn one by one: word k of md5 over seed, replicate and k // 4, modulo the clusters."""
+    total = ", ".join(f"sum({c}) AS {c}" for c in sums)
+    return f"""
+{name}_c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS t FROM {clusters}),
+{name}_w AS MATERIALIZED (
+  SELECT rep, k, ('0x' || substr(md5('{seed}:' || rep || ':' || (k // 4)), (1 + 8 * (k % 4))::INT, 8))::BIGINT AS w
+  FROM (SELECT unnest(range({replicates})) AS rep), (SELECT unnest(range((SELECT coalesce(max(t), 0) FROM {name}_c))) AS k)),
+{name} AS MATERIALIZED (
+  SELECT {by}, rep, {total} FROM (SELECT DISTINCT {by}, t FROM {name}_c) g JOIN {name}_w w ON w.k < g.t JOIN {name}_c c USING ({by}) WHERE c.i = w.w % g.t GROUP BY {by}, rep)"""

@@ -55,3 +55,29 @@ def test_as_of_join_matches_merge_asof(spark):
     got = as_of_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], ["v"], bucket_seconds=86_400).toPandas().sort_values("id")
     want = pd.merge_asof(left.sort_values("ts"), right.sort_values("ts"), on="ts", by="k").sort_values("id")
     assert got.v.astype(float).fillna(-1).tolist() == want.v.astype(float).fillna(-1).tolist()
+
+
+def test_lift_bootstrap_shares_its_draws(spark):
+    """Against a plain resampling; clusters of one side only count in the estimate, not in the interval."""
+    import hashlib
+
+    import numpy as np
+
+    from barloom.operators.stats import lift_bootstrap
+
+    rows = [("g", f"t{i:02d}", float(i % 4), i % 3 + 1, float(i % 5) / 2, i % 2 + 1) for i in range(17)] + [("g", "only", 9.0, 3, None, None), ("h", "x", 1.0, 1, None, None)]
+    df = spark.createDataFrame(rows, "g string, cluster string, sum double, n int, other_sum double, other_n int")
+    got = {r.g: r for r in lift_bootstrap(df, ["g"], 300, 11).collect()}
+    both = [r[2:] for r in rows if r[0] == "g" and r[5]]
+
+    def word(rep, k):
+        return int(hashlib.md5(f"11:{rep}:{k // 4}".encode()).hexdigest()[8 * (k % 4):8 * (k % 4) + 8], 16)
+
+    lifts = []
+    for rep in range(300):
+        s, n, os, on = np.sum([both[word(rep, k) % len(both)] for k in range(len(both))], axis=0)
+        lifts.append((s / n - os / on) * 100)
+    all_of = lambda a, b: sum(r[a] or 0 for r in rows if r[0] == "g") / sum(r[b] or 0 for r in rows if r[0] == "g")
+    assert abs(got["g"].lift - (all_of(2, 3) - all_of(4, 5)) * 100) < 1e-9 and got["g"].common_clusters == 17 and got["g"].replicates == 300
+    assert abs(got["g"].ci_low - np.percentile(lifts, 2.5)) < 1e-9 and abs(got["g"].ci_high - np.percentile(lifts, 97.5)) < 1e-9
+    assert got["h"].lift is None and got["h"].ci_low is None and got["h"].common_clusters == 0
