@@ -21,9 +21,9 @@ FREE = -(2**62)           # state "nothing is held"
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], ts: str = "ts", bucket_seconds: int = 86_400 * 128, size: str | None = None
+    df: DataFrame, keys: Sequence[str], ts: str = "ts", bucket_seconds: int = 86_400 * 128, size: str | None = None, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``pos``, the 0-based row number per series in ``ts`` order (``ts`` unique per series),
+    """Add ``pos``, the 0-based row number per series in ``ts`` order (``ts`` unique per series, or ordered by ``ties``),
     and under the name ``size`` the number of rows of the series.
 
     Rows are ranked inside calendar buckets; the bucket offsets come from a table of one row per
@@ -40,7 +40,7 @@ def number_rows(
             *([F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []),
         )
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *ties)
     return (
         bucketed.withColumn("_rank", F.row_number().over(inside))
         .join(offsets, [*keys, "_bucket"])

@@ -53,7 +53,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles:
         a = F.max(F.when(holds(low), F.col("_v")))
         b = F.max(F.when(holds(high), F.col("_v")))
         part = F.max(target - low)
-        out.append((a + (b - a) * part).alias(name))
+        out.append(F.when(a == b, a).otherwise(a + (b - a) * part).alias(name))  # also where both are infinite
     return ranked.groupBy(*groups).agg(*out)
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.blocks import block_window, number_rows, owned, place_rows, running_peak, running_total
+from ..operators.blocks import block_window, number_rows, owned, running_total
 from ..operators.calendar import local_day, local_minute
 from ..operators.indicators import with_indicators
 from ..operators.quality import invalid_ohlc
@@ -37,8 +37,6 @@ class SessionSpec:
     score_min: int = 40
 
 
-# Security types that never trade in the study.
-EXCLUDED_TYPES = ["otc", "warrant", "right", "unit", "preferred_stock"]
 SESSION = ["ticker", "session_date"]
 
 
@@ -249,128 +247,3 @@ def attempt_trades(signals: DataFrame, bars: DataFrame, grid: DataFrame, costs:
         }
     ).select(*keys, "signal_idx", "score", "status", "entry_idx", "entry_open", "entry_fill", "stop_price", "target_price", "risk_per_share",
              "exit_bar_idx", "exit_type", "raw_exit_price", "exit_fill", "net_r", "holding_minutes", "same_bar_ambiguity")
-
-
-def signal_counts(trades: DataFrame, groups: Sequence[str]) -> DataFrame:
-    x = F.col("status") == "executed"
-    return trades.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("signals"), F.count_if(x).alias("executed"), F.count_if(~x).alias("rejected"),
-        *[F.count_if(F.col("exit_type") == t).alias(f"exit_{t}") for t in ("gap_stop", "gap_target", "stop", "target", "time", "time_fallback")],
-        F.avg(F.when(x, (F.col("net_r") > 0).cast("double"))).alias("positive_trade_rate"), F.avg(F.when(x, F.col("holding_minutes"))).alias("average_holding_minutes"),
-    )
-
-
-def per_symbol_metrics(trades: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """R metrics per symbol: totals, profit-factor case, drawdown of 100 plus cumulative R."""
-    keys = [*groups, "ticker"]
-    done = trades.filter("status = 'executed'").withColumn("ts", F.col("session_date").cast("timestamp"))
-    summed = running_total(number_rows(done, keys, "ts"), keys, {"_cum": F.col("net_r")}).withColumn("equity", 100.0 + F.col("_cum"))
-    peaked = running_peak(summed, keys, {"_peak": F.col("equity")}).withColumn("_peak", F.greatest(F.col("_peak"), F.lit(100.0)))
-    r = F.col("net_r")
-    m = peaked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("trade_count"), F.sum(r).alias("total_return"), F.avg(r).alias("mean_expectancy"),
-        F.sum(F.when(r > 0, r).otherwise(0.0)).alias("gross_profit"), F.sum(F.when(r < 0, r).otherwise(0.0)).alias("gross_loss"),
-        F.min(F.least(F.lit(0.0), 100.0 * (F.col("equity") - F.col("_peak")) / F.col("_peak"))).alias("maximum_drawdown_pct"),
-    )
-    up, down = F.col("gross_profit"), F.col("gross_loss")
-    # Profit-factor cases.
-    case = (
-        F.when((up == 0) & (down == 0), "break_even").when((up == 0) & (down < 0), "no_profit")
-        .when((up > 0) & (down == 0), "no_loss_positive").otherwise("finite")
-    )
-    return m.withColumn("profit_factor_case", case).withColumn(
-        "profit_factor_value", F.when(F.col("profit_factor_case") == "finite", up / F.abs(down)).when(F.col("profit_factor_case") != "no_loss_positive", 0.0)
-    ).withColumn("positive", F.col("mean_expectancy") > 0)
-
-
-def study_metrics(symbols: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Pooled and per-symbol medians, concentration and positive rate; an unbounded profit factor sorts above all."""
-    order = F.coalesce("profit_factor_value", F.lit(float("inf")))
-    total, positive = F.sum("total_return"), F.col("total_return") > 0
-    m = symbols.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("represented_symbols"), F.sum("trade_count").alias("total_trades"), total.alias("pooled_total_return"),
-        (total / F.sum("trade_count")).alias("pooled_expectancy"), F.median("mean_expectancy").alias("median_per_symbol_expectancy"),
-        F.avg("mean_expectancy").alias("equal_weighted_mean_expectancy"), F.median("total_return").alias("median_per_symbol_total_return"),
-        F.median("maximum_drawdown_pct").alias("median_per_symbol_maximum_drawdown_pct"), F.avg(F.col("positive").cast("double")).alias("positive_symbol_rate"),
-        (F.max("trade_count") / F.sum("trade_count")).alias("trade_count_concentration"), F.median(order).alias("_pf"),
-        F.max(F.when(positive, F.col("total_return"))).alias("_best"), F.max(F.when(F.col("total_return") < 0, -F.col("total_return"))).alias("_worst"),
-        F.sum(F.when(F.col("total_return") < 0, -F.col("total_return"))).alias("_losses"),
-    )
-    return m.withColumns(
-        {
-            "median_per_symbol_profit_factor": F.when(F.col("_pf") < float("inf"), F.col("_pf")),
-            "median_profit_factor_unbounded": F.col("_pf") == float("inf"),
-            "net_profit_concentration": F.when(F.col("pooled_total_return") > 0, F.col("_best") / F.col("pooled_total_return")),
-            "absolute_loss_concentration": F.when(F.col("pooled_total_return") <= 0, F.try_divide(F.col("_worst"), F.col("_losses"))),
-        }
-    ).drop("_pf", "_best", "_worst", "_losses")
-
-
-def gap_bucket(gap: Column) -> Column:
-    """Bucket of an opening gap given as a fraction of the prior close."""
-    return (
-        F.when(gap.isNull(), "unknown").when(gap < -0.01, "below_minus_1pct").when(gap < 0, "minus_1pct_to_0")
-        .when(gap == 0, "zero").when(gap <= 0.01, "0_to_plus_1pct").otherwise("above_plus_1pct")
-    )
-
-
-def paired_outperformance(symbols: DataFrame, candidate: str, baseline: str) -> DataFrame:
-    """Symbols traded by both strategies and how often the candidate's expectancy is higher."""
-    side = lambda s, n: symbols.filter((F.col("strategy") == s) & (F.col("trade_count") > 0)).select("scenario", "ticker", F.col("mean_expectancy").alias(n))
-    return side(candidate, "a").join(side(baseline, "b"), ["scenario", "ticker"]).groupBy("scenario").agg(
-        F.count(F.lit(1)).alias("overlap"), F.avg((F.col("a") > F.col("b")).cast("double")).alias("outperformance_rate")
-    )
-
-
-def eligibility_reasons(spec: SessionSpec) -> Column:
-    """Reasons a security does not trade: price, dollar volume, security type."""
-    return F.array_compact(F.array(
-        F.when(F.col("prior_close") < spec.prior_close_min, "prior_close_below_min"),
-        F.when(F.col("median_dollar_volume") < spec.prior_dollar_volume_min, "prior_20_median_dollar_volume_below_threshold"),
-        F.when(F.lower("security_type").isin(EXCLUDED_TYPES), F.concat(F.lit("security_type_excluded_"), F.col("security_type"))),
-    ))
-
-
-@dataclass(frozen=True)
-class SampleMinimums:
-    """Sample sizes below which a study is inconclusive."""
-
-    trades: int = 300
-    symbols: int = 25
-    overlap: int = 15
-    max_pct_of_trades: float = 10.0
-    max_pct_of_profit: float = 20.0
-
-
-def evaluate_gates(metrics: DataFrame, paired: DataFrame, candidate: str, baselines: tuple[str, str], minimums: SampleMinimums = SampleMinimums()) -> DataFrame:
-    """Gate rows (gate, passed) of one scenario set and a verdict column; NULL = not computable."""
-    pick = lambda s, p: metrics.filter(F.col("strategy") == s).select("scenario", *[F.col(c).alias(f"{p}_{c}") for c in (
-        "total_trades", "represented_symbols", "pooled_expectancy", "median_per_symbol_expectancy", "positive_symbol_rate",
-        "median_per_symbol_profit_factor", "median_profit_factor_unbounded", "median_per_symbol_maximum_drawdown_pct",
-        "trade_count_concentration", "net_profit_concentration", "absolute_loss_concentration")])
-    row = pick(candidate, "c").join(pick(baselines[0], "a"), "scenario", "left").join(pick(baselines[1], "b"), "scenario", "left").join(paired, "scenario", "left")
-    pf = F.when(F.col("c_median_profit_factor_unbounded"), True).otherwise(F.col("c_median_per_symbol_profit_factor") >= 1.05)
-    share = F.coalesce("c_net_profit_concentration", "c_absolute_loss_concentration")
-    gates = {
-        "sample_trades": F.col("c_total_trades") >= minimums.trades,
-        "sample_symbols": F.col("c_represented_symbols") >= minimums.symbols,
-        "sample_overlap": F.coalesce("overlap", F.lit(0)) >= minimums.overlap,
-        "concentration_trades": F.col("c_trade_count_concentration") * 100 <= minimums.max_pct_of_trades,
-        "concentration_profit": share * 100 <= minimums.max_pct_of_profit,
-        "positive_pooled_expectancy": F.col("c_pooled_expectancy") > 0,
-        "positive_median_expectancy": F.col("c_median_per_symbol_expectancy") > 0,
-        "profit_factor": pf,
-        "positive_symbol_rate": F.col("c_positive_symbol_rate") >= 0.55,
-        "lift_vs_first_baseline": F.col("c_pooled_expectancy") - F.col("a_pooled_expectancy") >= 0.05,
-        "lift_vs_second_baseline": F.col("c_pooled_expectancy") - F.col("b_pooled_expectancy") >= 0.03,
-        "paired_outperformance": F.col("outperformance_rate") >= 0.55,
-        "drawdown_tolerance": F.col("c_median_per_symbol_maximum_drawdown_pct") >= F.col("a_median_per_symbol_maximum_drawdown_pct") - 2.0,
-    }
-    rows = F.array(*[F.struct(F.lit(n).alias("gate"), c.alias("passed")) for n, c in gates.items()])
-    long_form = row.select("scenario", F.explode(rows).alias("g")).select("scenario", "g.gate", "g.passed")
-    sample = F.col("gate").startswith("sample") | F.col("gate").startswith("concentration")
-    verdict = long_form.groupBy("scenario").agg(
-        F.when(F.bool_or(sample & ~F.coalesce("passed", F.lit(False))), "inconclusive")
-        .when(F.bool_or(F.col("passed").isNull()), "inconclusive").when(F.bool_and("passed"), "supported").otherwise("not_supported").alias("verdict")
-    )
-    return long_form.join(verdict, "scenario")

@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 from barloom.config import Split
 from barloom.operators import calendar as cal
 from barloom.plans import intraday as it
+from barloom.plans import session_study as ss
 from barloom.plans import weekly as wk
 from barloom.session import settle
 from barloom.sources import bars as src
 from oracle.sql import DAILY, MARKET, day, event_bars, indicators, minute, numbered, r, with_
 
 from .base import query, tidy
-from .bars import EXPANDING, LONG_SCORE, WEEKLY, weekly
+from .bars import EXPANDING, INTRADAY_SCORE, LONG_SCORE, WEEKLY, weekly
 from .market import LOCAL, SESSIONS, event_calendar
 from .studies import SPLITS, split_sql
 
 # sessions of the test stream hold six 65-minute bars
-SPEC = it.SessionSpec(bar_minutes=65, drive_bars=2, prior_sessions=3, min_return_pct=0.75, min_volume_multiple=0.8, window_start=635, window_end=895, time_exit=960)
+SPEC = it.SessionSpec(bar_minutes=65, drive_bars=2, prior_sessions=3, min_return_pct=0.75, min_volume_multiple=0.8, window_start=635, window_end=895, time_exit=960, prior_close_min=0.5, prior_dollar_volume_min=10.0)
 COSTS = [("base", 5.0), ("stress", 10.0)]
 
 # 65-minute bars aligned to the session open of each day
@@ -117,73 +118,241 @@ tr AS MATERIALIZED (
   FROM en LEFT JOIN xt USING (ticker, d, strategy, scenario))"""
 
 
-def session_trades(spark, sf):
-    _, _, grid, b = session_data(spark, sf)
+META = """
+meta AS MATERIALIZED (
+  SELECT ticker, arg_min(close, lts) AS prior_close, (SELECT median(x) FROM (SELECT sum(close * volume) AS x FROM sb z WHERE z.ticker = sb.ticker GROUP BY d)) AS mdv,
+    CASE WHEN ticker = 'error' THEN 'warrant' WHEN ticker IN ('click', 'view') THEN 'etf' ELSE 'common_stock' END AS security_type, ticker IN ('click', 'view') AS is_etf, ticker <> 'none' AS is_eligible FROM sb GROUP BY 1),
+elig AS MATERIALIZED (
+  SELECT *, array_to_string(list_filter([CASE WHEN NOT is_eligible THEN 'ticker_not_eligible' END, CASE WHEN prior_close < 0.5 THEN 'prior_close_below_min' END,
+    CASE WHEN mdv < 10 THEN 'prior_20_median_dollar_volume_below_threshold' END, CASE WHEN security_type IN ('otc', 'warrant', 'right', 'unit', 'preferred_stock') THEN 'security_type_excluded_' || security_type END], lambda x: x IS NOT NULL), ';') AS why FROM meta)"""
+BASELINE_A = ["sbs AS (SELECT ticker, lts AS ts, d, slot, open, high, low, close, volume FROM sb)", numbered("sbs"), indicators(), """
+ba AS MATERIALIZED (
+  SELECT i.*, lag(macd_diff) OVER (PARTITION BY ticker ORDER BY pos) AS pd,
+    CASE WHEN bb_width IS NOT NULL THEN
+    ((SELECT count(*) FROM ind j WHERE j.ticker = i.ticker AND j.pos <= i.pos AND j.bb_width < i.bb_width)
+     + ((SELECT count(*) FROM ind j WHERE j.ticker = i.ticker AND j.pos <= i.pos AND j.bb_width = i.bb_width) + 1) / 2e0)
+    / (SELECT count(bb_width) FROM ind j WHERE j.ticker = i.ticker AND j.pos <= i.pos) END AS wr
+  FROM ind i)""", f"""
+basig AS MATERIALIZED (
+  SELECT ticker, d, slot AS si, {INTRADAY_SCORE} AS score, wr, low - greatest(0.01e0, close * 0.0005e0) AS stop FROM ba
+  WHERE 570 + (slot + 1) * 65 BETWEEN 635 AND 895 AND pos >= 20 AND {INTRADAY_SCORE} >= 40 QUALIFY row_number() OVER (PARTITION BY ticker, d ORDER BY slot) = 1)"""]
+RECLAIMS, ATTEMPTS = TRADES.split("en AS MATERIALIZED (", 1)
+STUDY = [
+    GRIDDED, DRIVE, META, *BASELINE_A, RECLAIMS.replace("rc AS MATERIALIZED (", "rc0 AS MATERIALIZED (", 1).rstrip().rstrip(","), """
+rc AS MATERIALIZED (
+  SELECT ticker, d, strategy, si, stop FROM rc0 WHERE ticker IN (SELECT ticker FROM elig WHERE why = '')
+  UNION ALL SELECT ticker, d, 'baseline_a', si, stop FROM basig WHERE ticker IN (SELECT ticker FROM elig WHERE why = ''))""", "en AS MATERIALIZED (" + ATTEMPTS, """
+hist AS (SELECT ticker, d, sum(count(*)) OVER (PARTITION BY ticker ORDER BY d) AS h, max(open) FILTER (slot = 0) AS o FROM sb GROUP BY 1, 2),
+sg AS MATERIALIZED (
+  SELECT h.ticker, h.d, s.strategy, c.scenario, e.is_etf, coalesce(t.status, 'no_signal') AS status, t.si, t.exit_type, t.net_r, t.hold, CASE WHEN s.strategy = 'baseline_a' AND t.status IS NOT NULL THEN b.score END AS score,
+    CASE WHEN t.status = 'rejected_no_next_bar' THEN 'next_expected_bar_missing_or_invalid' WHEN t.status = 'rejected_entry_at_or_below_stop' THEN 'next_bar_open_at_or_below_stop'
+      WHEN t.status = 'rejected_nonpositive_risk' THEN 'nonpositive_or_nonfinite_risk_per_share' WHEN t.status = 'executed' THEN NULL WHEN e.why <> '' THEN e.why WHEN s.strategy <> 'baseline_a' THEN 'no_reclaim_bar_found'
+      WHEN h.h < 20 THEN 'insufficient_history_for_indicators' ELSE 'no_score_reached_40' END AS reason,
+    CASE WHEN s.strategy = 'candidate' AND e.why = '' THEN v.qualified END AS drive, CASE WHEN t.status = 'executed' THEN (h.o - e.prior_close) / e.prior_close END AS gap, CASE WHEN t.status = 'executed' THEN strftime(h.d, '%Y-%m') ELSE 'unknown' END AS month
+  FROM hist h CROSS JOIN (SELECT unnest(['candidate', 'baseline_a', 'baseline_b']) AS strategy) s CROSS JOIN (SELECT unnest(['base', 'stress']) AS scenario) c JOIN elig e ON e.ticker = h.ticker
+  LEFT JOIN tr t ON t.ticker = h.ticker AND t.d = h.d AND t.strategy = s.strategy AND t.scenario = c.scenario LEFT JOIN basig b ON b.ticker = h.ticker AND b.d = h.d LEFT JOIN drv v ON v.ticker = h.ticker AND v.d = h.d)""",
+]
+METRICS = """
+gp AS MATERIALIZED (
+  SELECT *, 'all' AS grouping, 'all' AS member FROM sg UNION ALL SELECT *, 'month', month FROM sg WHERE scenario = 'base'
+  UNION ALL SELECT *, 'gap', CASE WHEN gap IS NULL THEN 'unknown' WHEN gap < -0.01 THEN 'below_minus_1pct' WHEN gap < 0 THEN 'minus_1pct_to_0' WHEN gap = 0 THEN 'zero' WHEN gap <= 0.01 THEN '0_to_plus_1pct' ELSE 'above_plus_1pct' END FROM sg WHERE scenario = 'base'),
+ex AS MATERIALIZED (SELECT *, 100 + sum(net_r) OVER (PARTITION BY strategy, scenario, grouping, member, ticker ORDER BY d) AS eq, 100 + sum(net_r) OVER (PARTITION BY strategy, scenario, grouping, member ORDER BY d, si, ticker) AS aeq FROM gp WHERE status = 'executed'),
+ep AS (SELECT *, greatest(100, max(eq) OVER (PARTITION BY strategy, scenario, grouping, member, ticker ORDER BY d)) AS pk, greatest(100, max(aeq) OVER (PARTITION BY strategy, scenario, grouping, member ORDER BY d, si, ticker)) AS apk FROM ex),
+sy0 AS (SELECT strategy, scenario, grouping, member, ticker, any_value(is_etf) AS is_etf, count(*) AS n, sum(net_r) AS total, avg(net_r) AS mean, coalesce(sum(net_r) FILTER (net_r > 0), 0) AS gp, coalesce(sum(net_r) FILTER (net_r < 0), 0) AS gl, min(least(0, 100 * (eq - pk) / pk)) AS dd FROM ep GROUP BY ALL),
+sy AS MATERIALIZED (SELECT *, CASE WHEN gp = 0 AND gl = 0 THEN 'break_even' WHEN gp = 0 THEN 'no_profit' WHEN gl = 0 THEN 'no_loss_positive' ELSE 'finite' END AS pc, CASE WHEN gp > 0 AND gl = 0 THEN NULL WHEN gp = 0 THEN 0 ELSE gp / -gl END AS pf FROM sy0),
+sm AS (
+  SELECT strategy, scenario, grouping, member, count(*) AS represented_symbols, count(*) FILTER (NOT is_etf) AS represented_stock_symbols, count(*) FILTER (is_etf) AS represented_etf_symbols, median(mean) AS median_per_symbol_expectancy, avg(mean) AS equal_weighted_per_symbol_mean_expectancy,
+    avg((mean > 0)::INT) AS positive_symbol_rate, median(total) AS median_per_symbol_total_return, median(dd) AS median_per_symbol_maximum_drawdown_pct, list_sort(list(coalesce(pf, 1e300))) AS pfs, max(n) AS most, max(total) FILTER (total > 0) AS best,
+    max(-total) FILTER (total < 0) AS worst, sum(-total) FILTER (total < 0) AS losses FROM sy GROUP BY ALL),
+sp AS (
+  SELECT strategy, scenario, grouping, member, count(*) AS total_trades, sum(net_r) AS pooled_total_return, count(*) FILTER (NOT is_etf) AS stock_n, count(*) FILTER (is_etf) AS etf_n, coalesce(avg(net_r) FILTER (NOT is_etf), 0) AS stock_e, coalesce(avg(net_r) FILTER (is_etf), 0) AS etf_e,
+    min(least(0, 100 * (aeq - apk) / apk)) AS mdd FROM ep GROUP BY ALL),
+sc AS (
+  SELECT strategy, scenario, grouping, member, count(*) AS total_signals, count(*) FILTER (status = 'executed') AS executed_trades, count(*) FILTER (status LIKE 'rejected%') AS rejected_signals, count(*) FILTER (status = 'no_signal') AS no_signal_count,
+    count(*) FILTER (status = 'rejected_no_next_bar') AS rejected_no_next_bar, count(*) FILTER (status = 'rejected_entry_at_or_below_stop') AS rejected_entry_at_or_below_stop, count(*) FILTER (status = 'rejected_nonpositive_risk') AS rejected_nonpositive_risk,
+    EXITS, avg((net_r > 0)::INT) FILTER (status = 'executed') AS positive_trade_rate, avg(hold) FILTER (status = 'executed') AS average_holding_minutes FROM gp GROUP BY ALL),
+mt AS MATERIALIZED (
+  SELECT sc.*, coalesce(total_trades, 0) AS total_trades, coalesce(pooled_total_return, 0) AS pooled_total_return, coalesce(pooled_total_return / total_trades, 0) AS pooled_expectancy, coalesce(mdd, 0) AS overall_maximum_drawdown_pct, coalesce(stock_n, 0) AS stock_stratum_trade_count, coalesce(etf_n, 0) AS etf_stratum_trade_count,
+    coalesce(stock_e, 0) AS stock_stratum_pooled_expectancy, coalesce(etf_e, 0) AS etf_stratum_pooled_expectancy, coalesce(represented_symbols, 0) AS represented_symbols, coalesce(represented_stock_symbols, 0) AS represented_stock_symbols, coalesce(represented_etf_symbols, 0) AS represented_etf_symbols,
+    median_per_symbol_expectancy, equal_weighted_per_symbol_mean_expectancy, positive_symbol_rate, median_per_symbol_total_return, median_per_symbol_maximum_drawdown_pct, coalesce(most / total_trades, 0) AS trade_count_concentration,
+    (pfs[(len(pfs) + 1) // 2] + pfs[len(pfs) // 2 + 1]) / 2 AS pfo, CASE WHEN pooled_total_return > 0 THEN best / pooled_total_return END AS net_profit_concentration, CASE WHEN pooled_total_return <= 0 THEN worst / losses END AS absolute_loss_concentration
+  FROM sc LEFT JOIN sp USING (strategy, scenario, grouping, member) LEFT JOIN sm USING (strategy, scenario, grouping, member))""".replace("EXITS", ", ".join(f"count(*) FILTER (exit_type = '{t}') AS exit_{t}" for t in ss.EXITS))
+
+
+def session_meta(b):
+    """What is known of a ticker, derived from its bars."""
+    daily = b.groupBy("ticker", "session_date").agg(F.sum(F.col("close") * F.col("volume")).alias("x")).groupBy("ticker").agg(F.percentile("x", 0.5).alias("median_dollar_volume"))
+    first = b.groupBy("ticker").agg(F.min_by("close", "bar_start").alias("prior_close"))
+    etf = F.col("ticker").isin("click", "view")
+    kind = F.when(F.col("ticker") == "error", "warrant").when(etf, "etf").otherwise("common_stock")
+    return first.join(daily, "ticker").select("ticker", "prior_close", "median_dollar_volume", kind.alias("security_type"), etf.alias("is_etf"), (F.col("ticker") != "none").alias("is_eligible"))
+
+
+def session_signals(spark, sf):
+    bars, sessions, grid, b = session_data(spark, sf)
     b = settle(b)
     drives = settle(it.opening_drives(b, grid, SPEC))
-    signals = it.reclaim_signals(b, drives, SPEC, "candidate", True).unionByName(it.reclaim_signals(b, drives, SPEC, "baseline_b", False))
-    return settle(it.attempt_trades(signals, b, grid, COSTS, SPEC))
+    return settle(ss.session_signals(b, drives, grid, settle(session_meta(b)), COSTS, SPEC)), (bars, sessions, grid, b)
+
+
+def session_metrics(spark, sf):
+    signals, data = session_signals(spark, sf)
+    groups = settle(ss.grouped(signals, "base"))
+    trades = settle(ss.finite_trades(groups))
+    symbols = settle(ss.per_symbol_metrics(trades, ss.CELL))
+    return settle(ss.study_metrics(groups, symbols, trades)), symbols, data
 
 
-@query("session_trades", with_(GRIDDED, DRIVE, TRADES, select=f"SELECT ticker, {day('d')} AS session_date, strategy, scenario, si AS signal_idx, status, {r('eo')} AS entry_open, {r('stop')} AS stop_price, exit_type, {r('raw')} AS raw_exit_price, {r('net_r')} AS net_r, {r('hold')} AS holding_minutes FROM tr"))
+@query("session_eligibility", with_(GRIDDED, META, select=f"SELECT ticker, {r('prior_close')} AS prior_close, {r('mdv')} AS median_dollar_volume, security_type, is_etf, is_eligible, replace(why, ';', '|') AS reasons, why = '' AS eligible FROM elig"))
 def _(spark, sf):
-    t = session_trades(spark, sf)
+    """Reasons why a ticker does not trade."""
+    return tidy(ss.eligibility(session_meta(settle(session_data(spark, sf)[3])), SPEC))
+
+
+@query("baseline_a_signals", with_(GRIDDED, *BASELINE_A, select=f"SELECT ticker, {day('d')} AS session_date, 'baseline_a' AS strategy, si AS signal_idx, score, {r('stop')} AS stop_price FROM basig"))
+def _(spark, sf):
+    """The first bar of a session whose score reaches the minimum, band width ranked among the whole past."""
+    return tidy(it.score_signals(settle(session_data(spark, sf)[3]), SPEC))
+
+
+@query("session_trades", with_(*STUDY, select=f"SELECT ticker, {day('d')} AS session_date, strategy, scenario, si AS signal_idx, status, {r('eo')} AS entry_open, {r('stop')} AS stop_price, exit_type, {r('raw')} AS raw_exit_price, {r('net_r')} AS net_r, {r('hold')} AS holding_minutes FROM tr"))
+def _(spark, sf):
+    t = session_signals(spark, sf)[0].filter("status <> 'no_signal'")
     return tidy(t.select("ticker", "session_date", "strategy", "scenario", "signal_idx", "status", "entry_open", "stop_price", "exit_type", "raw_exit_price", "net_r", "holding_minutes"))
 
 
+@query("session_signals", with_(*STUDY, select=f"SELECT ticker, {day('d')} AS session_date, strategy, scenario, is_etf, status, reason, drive AS opening_drive_qualified, score, {r('gap')} AS opening_gap, month FROM sg"))
+def _(spark, sf):
+    """Every session's outcome by strategy and scenario, with its reason."""
+    return tidy(session_signals(spark, sf)[0].select("ticker", "session_date", "strategy", "scenario", "is_etf", "status", "reason", "opening_drive_qualified", "score", "opening_gap", "month"))
+
+
 @query(
     "session_signal_counts",
-    with_(GRIDDED, DRIVE, TRADES, select="SELECT strategy, scenario, count(*) AS signals, count(*) FILTER (status = 'executed') AS executed, count(*) FILTER (status <> 'executed') AS rejected, "
-          + ", ".join(f"count(*) FILTER (exit_type = '{t}') AS exit_{t}" for t in ("gap_stop", "gap_target", "stop", "target", "time", "time_fallback"))
-          + f", {r('avg((net_r > 0)::INT)')} AS positive_trade_rate, {r('avg(hold)')} AS average_holding_minutes FROM tr GROUP BY 1, 2"),
+    with_(*STUDY, METRICS, select=f"SELECT sc.* EXCLUDE (positive_trade_rate, average_holding_minutes), {r('positive_trade_rate')} AS positive_trade_rate, {r('average_holding_minutes')} AS average_holding_minutes FROM sc"),
 )
 def _(spark, sf):
-    return tidy(it.signal_counts(session_trades(spark, sf), ["strategy", "scenario"]))
+    return tidy(ss.signal_counts(ss.grouped(session_signals(spark, sf)[0], "base"), ss.CELL))
 
 
-SYMBOLS = """
-eqs AS (SELECT *, 100 + sum(net_r) OVER (PARTITION BY strategy, scenario, ticker ORDER BY d) AS eq FROM tr WHERE status = 'executed'),
-eqp AS (SELECT *, greatest(100, max(eq) OVER (PARTITION BY strategy, scenario, ticker ORDER BY d)) AS pk FROM eqs),
-sy AS MATERIALIZED (
-  SELECT strategy, scenario, ticker, count(*) AS n, sum(net_r) AS total, avg(net_r) AS mean, coalesce(sum(net_r) FILTER (net_r > 0), 0) AS gp, coalesce(sum(net_r) FILTER (net_r < 0), 0) AS gl, min(least(0, 100 * (eq - pk) / pk)) AS dd FROM eqp GROUP BY 1, 2, 3),
-sy2 AS MATERIALIZED (SELECT *, CASE WHEN gp = 0 AND gl = 0 THEN 'break_even' WHEN gp = 0 THEN 'no_profit' WHEN gl = 0 THEN 'no_loss_positive' ELSE 'finite' END AS pc, CASE WHEN gp > 0 AND gl = 0 THEN NULL WHEN gp = 0 THEN 0 ELSE gp / -gl END AS pf FROM sy)"""
+@query("session_symbol_metrics", with_(*STUDY, METRICS, select=f"SELECT strategy, scenario, grouping, member, ticker, is_etf, n AS trade_count, {r('total')} AS total_return, {r('mean')} AS mean_expectancy, {r('gp')} AS gross_profit, {r('gl')} AS gross_loss, pc AS profit_factor_case, {r('pf')} AS profit_factor_value, {r('dd')} AS maximum_drawdown_pct, mean > 0 AS positive FROM sy"))
+def _(spark, sf):
+    return tidy(session_metrics(spark, sf)[1].drop("_executed", "profit_factor_order"))
 
 
-@query("session_symbol_metrics", with_(GRIDDED, DRIVE, TRADES, SYMBOLS, select=f"SELECT strategy, scenario, ticker, n AS trade_count, {r('total')} AS total_return, {r('mean')} AS mean_expectancy, pc AS profit_factor_case, {r('pf')} AS profit_factor_value, {r('dd')} AS maximum_drawdown_pct, mean > 0 AS positive FROM sy2"))
-def _(spark, sf):
-    m = it.per_symbol_metrics(session_trades(spark, sf), ["strategy", "scenario"])
-    return tidy(m.drop("gross_profit", "gross_loss"))
+WHOLE = ["total_signals", "executed_trades", "rejected_signals", "no_signal_count", *ss.REJECTIONS, *[f"exit_{t}" for t in ss.EXITS], "total_trades", "stock_stratum_trade_count", "etf_stratum_trade_count", "represented_symbols", "represented_stock_symbols", "represented_etf_symbols"]
+PARTIAL = [
+    "positive_trade_rate", "average_holding_minutes", "pooled_total_return", "pooled_expectancy", "overall_maximum_drawdown_pct", "stock_stratum_pooled_expectancy", "etf_stratum_pooled_expectancy", "median_per_symbol_expectancy", "equal_weighted_per_symbol_mean_expectancy",
+    "positive_symbol_rate", "median_per_symbol_total_return", "median_per_symbol_maximum_drawdown_pct", "trade_count_concentration", "net_profit_concentration", "absolute_loss_concentration"]
 
 
 @query(
     "session_study_metrics",
-    with_(GRIDDED, DRIVE, TRADES, SYMBOLS, select=f"""
-SELECT strategy, scenario, count(*) AS represented_symbols, sum(n)::BIGINT AS total_trades, {r('sum(total)')} AS pooled_total_return, {r('sum(total) / sum(n)')} AS pooled_expectancy, {r('median(mean)')} AS median_per_symbol_expectancy,
-  {r('avg(mean)')} AS equal_weighted_mean_expectancy, {r('median(dd)')} AS median_per_symbol_maximum_drawdown_pct, {r('avg((mean > 0)::INT)')} AS positive_symbol_rate, {r('max(n) / sum(n)')} AS trade_count_concentration,
-  CASE WHEN sum(total) > 0 THEN {r('max(total) FILTER (total > 0) / sum(total)')} END AS net_profit_concentration FROM sy2 GROUP BY 1, 2"""),
+    with_(*STUDY, METRICS, select=f"""
+SELECT strategy, scenario, grouping, member, {', '.join(WHOLE)}, {', '.join(f'{r(c)} AS {c}' for c in PARTIAL)}, CASE WHEN pfo >= 1e290 THEN 'unbounded' WHEN pfo IS NOT NULL THEN 'finite' ELSE 'none' END AS median_profit_factor, {r('CASE WHEN pfo < 1e290 THEN pfo END')} AS median_per_symbol_profit_factor_value FROM mt"""),
 )
 def _(spark, sf):
-    m = it.study_metrics(it.per_symbol_metrics(session_trades(spark, sf), ["strategy", "scenario"]), ["strategy", "scenario"])
-    return tidy(m.drop("median_per_symbol_total_return", "median_per_symbol_profit_factor", "median_profit_factor_unbounded", "absolute_loss_concentration"))
+    """Metrics of each strategy: all trades, by month and by opening gap."""
+    m = session_metrics(spark, sf)[0]
+    order = F.col("median_per_symbol_profit_factor_order")
+    shown = F.when(order == float("inf"), "unbounded").when(order.isNotNull(), "finite").otherwise("none")
+    return tidy(m.withColumn("median_profit_factor", shown).drop("median_per_symbol_profit_factor_order"))
 
 
 @query(
     "session_paired_outperformance",
-    with_(GRIDDED, DRIVE, TRADES, SYMBOLS, select=f"SELECT scenario, count(*) AS overlap, {r('avg((a.mean > b.mean)::INT)')} AS outperformance_rate FROM sy2 a JOIN sy2 b USING (scenario, ticker) WHERE a.strategy = 'candidate' AND b.strategy = 'baseline_b' GROUP BY 1"),
+    with_(*STUDY, METRICS, select=f"SELECT scenario, count(*) AS overlap, {r('avg((a.mean > b.mean)::INT)')} AS outperformance_rate FROM sy a JOIN sy b USING (scenario, grouping, ticker) WHERE a.strategy = 'candidate' AND b.strategy = 'baseline_b' AND grouping = 'all' GROUP BY 1"),
 )
 def _(spark, sf):
-    return tidy(it.paired_outperformance(it.per_symbol_metrics(session_trades(spark, sf), ["strategy", "scenario"]), "candidate", "baseline_b"))
+    return tidy(ss.paired_outperformance(session_metrics(spark, sf)[1].filter("grouping = 'all'"), "candidate", "baseline_b"))
+
 
+SIDE = lambda s, c: f"any_value({c}) FILTER (strategy = '{s}')"
 
-@query("session_gates")
+
+@query(
+    "session_features",
+    with_(*STUDY, select=f"""
+SELECT ticker, {day('d')} AS session_date, {SIDE('candidate', 'status')} AS candidate_status, {SIDE('candidate', 'reason')} AS candidate_reason, {SIDE('candidate', 'drive')} AS candidate_opening_drive_qualified, {SIDE('baseline_a', 'status')} AS baseline_a_status,
+  {SIDE('baseline_a', 'score')} AS baseline_a_score, {SIDE('baseline_b', 'status')} AS baseline_b_status FROM sg WHERE scenario = 'base' GROUP BY 1, d"""),
+)
 def _(spark, sf):
-    _, _, grid, b = session_data(spark, sf)
-    b = settle(b)
-    a = it.attempt_trades(it.score_signals(b, SPEC), b, grid, COSTS, SPEC)
-    t = settle(session_trades(spark, sf).unionByName(a))
-    symbols = settle(it.per_symbol_metrics(t, ["strategy", "scenario"]))
-    paired = it.paired_outperformance(symbols, "candidate", "baseline_a")
-    return it.evaluate_gates(it.study_metrics(symbols, ["strategy", "scenario"]), paired, "candidate", ("baseline_a", "baseline_b"))
+    """One row per ticker and session, the three strategies side by side."""
+    return tidy(ss.session_features(session_signals(spark, sf)[0].filter("scenario = 'base'")))
+
+
+@query(
+    "session_ticker_comparison",
+    with_(*STUDY, METRICS, select=f"""
+SELECT c.ticker, c.is_etf, c.n AS candidate_trade_count, {r('c.total')} AS candidate_total_return, {r('c.mean')} AS candidate_mean_expectancy, {r('c.dd')} AS candidate_maximum_drawdown_pct, a.n AS baseline_a_trade_count, {r('a.mean')} AS baseline_a_mean_expectancy,
+  b.n AS baseline_b_trade_count, {r('b.mean')} AS baseline_b_mean_expectancy, c.mean > a.mean AS candidate_beat_a, c.mean > b.mean AS candidate_beat_b
+FROM sy c LEFT JOIN (SELECT * FROM sy WHERE strategy = 'baseline_a' AND scenario = 'base' AND grouping = 'all') a ON a.ticker = c.ticker LEFT JOIN (SELECT * FROM sy WHERE strategy = 'baseline_b' AND scenario = 'base' AND grouping = 'all') b ON b.ticker = c.ticker
+WHERE c.strategy = 'candidate' AND c.scenario = 'base' AND c.grouping = 'all'"""),
+)
+def _(spark, sf):
+    """The candidate's symbols next to both baselines."""
+    return tidy(ss.ticker_comparison(session_metrics(spark, sf)[1].filter("grouping = 'all' AND scenario = 'base'")))
+
+
+MINIMUMS = ss.SampleMinimums(trades=10, stock_symbols=1, etf_symbols=1, stock_trades=3, etf_trades=3, overlap=2, max_pct_of_trades=60.0, max_pct_of_profit=100.0)
+ROW = lambda s, c, n: f"(SELECT x FROM mt x WHERE x.strategy = '{s}' AND x.scenario = '{c}' AND x.grouping = 'all') AS {n}"
+FMT = lambda x: f"printf('%.4f', ({x})::DOUBLE)"
+PFO = lambda x: f"(CASE WHEN {x}.pfo IS NULL THEN 'none' WHEN {x}.pfo >= 1e290 THEN 'inf' ELSE {FMT(f'{x}.pfo')} END)"
+LIFT = lambda n, s, k: f"SELECT '{n}' AS gate, c.median_per_symbol_expectancy >= {s}.median_per_symbol_expectancy + {k} AS passed, CASE WHEN c.median_per_symbol_expectancy IS NULL OR {s}.median_per_symbol_expectancy IS NULL THEN 'median_per_symbol_expectancy_not_computable' ELSE 'candidate=' || {FMT('c.median_per_symbol_expectancy')} || '_baseline_{s}=' || {FMT(f'{s}.median_per_symbol_expectancy')} || '_lift_required={k}' END AS reason FROM g0"
+GATES = f"""
+qual AS (SELECT ticker, count(DISTINCT ld) FILTER (ld IN (SELECT d FROM sess)) AS ses, count(*) FILTER (NOT (slot BETWEEN 0 AND 5 AND ld IN (SELECT d FROM sess))) AS off, count(*) FILTER (slot BETWEEN 0 AND 5 AND ld IN (SELECT d FROM sess)) AS ok FROM bars GROUP BY 1),
+short AS (SELECT 'missing_bar_rate_above_5%' AS x, count(*) AS n FROM qual WHERE (6 * ses - ok) / (6e0 * ses) > 0.05),
+shorts AS (SELECT CASE WHEN n > 0 THEN [x || ' (' || n || ' symbol-month' || CASE WHEN n <> 1 THEN 's' ELSE '' END || ')'] ELSE [] END AS l FROM short),
+g0 AS MATERIALIZED (SELECT {ROW('candidate', 'base', 'c')}, {ROW('baseline_a', 'base', 'a')}, {ROW('baseline_b', 'base', 'b')}, {ROW('candidate', 'stress', 'dr')},
+  (SELECT count(*) FROM sy x JOIN sy y USING (scenario, grouping, ticker) WHERE x.strategy = 'candidate' AND y.strategy = 'baseline_a' AND grouping = 'all' AND scenario = 'base') AS ov,
+  (SELECT coalesce(avg((x.mean > y.mean)::INT), 0) FROM sy x JOIN sy y USING (scenario, grouping, ticker) WHERE x.strategy = 'candidate' AND y.strategy = 'baseline_a' AND grouping = 'all' AND scenario = 'base') AS rt),
+g1 AS MATERIALIZED (SELECT list_concat(list_filter([CASE WHEN c.total_trades < 10 THEN 'executed_candidate_trades_' || c.total_trades || '_below_10' END, CASE WHEN c.represented_stock_symbols < 1 THEN 'represented_stock_symbols_' || c.represented_stock_symbols || '_below_1' END,
+    CASE WHEN c.represented_etf_symbols < 1 THEN 'represented_etfs_' || c.represented_etf_symbols || '_below_1' END, CASE WHEN c.stock_stratum_trade_count < 3 THEN 'stock_stratum_trades_' || c.stock_stratum_trade_count || '_below_3' END, CASE WHEN c.etf_stratum_trade_count < 3 THEN 'etf_stratum_trades_' || c.etf_stratum_trade_count || '_below_3' END,
+    CASE WHEN c.trade_count_concentration * 100 > 60 THEN printf('trade_count_concentration_%.2f%%', c.trade_count_concentration * 100) || '_exceeds_60.0%' END, CASE WHEN c.net_profit_concentration * 100 > 100 THEN printf('net_profit_concentration_%.2f%%', c.net_profit_concentration * 100) || '_exceeds_100.0%' END,
+    CASE WHEN c.absolute_loss_concentration * 100 > 100 THEN printf('absolute_loss_concentration_%.2f%%', c.absolute_loss_concentration * 100) || '_exceeds_100.0%' END], lambda x: x IS NOT NULL), CASE WHEN len(l) > 0 THEN list_concat(['data_sufficiency_failed'], l) ELSE [] END) AS rs FROM g0, shorts),
+gt AS MATERIALIZED (
+  SELECT '1_sample_and_data_sufficiency' AS gate, len(rs) = 0 AS passed, CASE WHEN len(rs) = 0 THEN 'ok' ELSE array_to_string(rs, '; ') END AS reason FROM g1
+  UNION ALL SELECT '2_candidate_pooled_expectancy_positive_5bps', c.pooled_expectancy > 0, 'pooled_expectancy=' || {FMT('c.pooled_expectancy')} FROM g0
+  UNION ALL {LIFT('3_candidate_median_expectancy_vs_baseline_a', 'a', 0.05)} UNION ALL {LIFT('4_candidate_median_expectancy_vs_baseline_b', 'b', 0.03)}
+  UNION ALL SELECT '5_candidate_median_profit_factor_threshold', c.pfo >= 1.05, CASE WHEN c.pfo IS NULL THEN 'profit_factor_median_not_computable' ELSE 'median_pf_order=' || {PFO('c')} END FROM g0
+  UNION ALL SELECT '6_candidate_median_profit_factor_not_below_baselines', least(c.pfo, 1e290) >= least(a.pfo, 1e290) AND least(c.pfo, 1e290) >= least(b.pfo, 1e290) AND (c.pfo + a.pfo + b.pfo) IS NOT NULL, CASE WHEN (c.pfo + a.pfo + b.pfo) IS NULL THEN 'profit_factor_median_not_comparable' ELSE 'candidate=' || {PFO('c')} || '_vs_a=' || {PFO('a')} || '_vs_b=' || {PFO('b')} END FROM g0
+  UNION ALL SELECT '7_positive_symbol_rate', c.positive_symbol_rate >= 0.55, coalesce('positive_symbol_rate=' || {FMT('c.positive_symbol_rate')}, 'positive_symbol_rate_not_computable') FROM g0
+  UNION ALL SELECT '8_paired_symbol_outperformance_vs_baseline_a', CASE WHEN ov >= 2 THEN rt >= 0.55 END, CASE WHEN ov < 2 THEN 'paired_overlap_' || ov || '_below_2' ELSE 'paired_overlap=' || ov || '_outperform_rate=' || {FMT('rt')} END FROM g0
+  UNION ALL SELECT '9_median_drawdown_not_worse_than_baseline', c.median_per_symbol_maximum_drawdown_pct >= a.median_per_symbol_maximum_drawdown_pct - 2, coalesce('candidate_mdd=' || {FMT('c.median_per_symbol_maximum_drawdown_pct')} || '_baseline_mdd=' || {FMT('a.median_per_symbol_maximum_drawdown_pct')} || '_tolerance=2.0', 'median_mdd_not_computable') FROM g0
+  UNION ALL SELECT '10_stock_and_etf_strata_nonneg_expectancy', c.stock_stratum_pooled_expectancy >= 0 AND c.etf_stratum_pooled_expectancy >= 0, 'stock=' || {FMT('c.stock_stratum_pooled_expectancy')} || '_etf=' || {FMT('c.etf_stratum_pooled_expectancy')} FROM g0
+  UNION ALL SELECT '11_candidate_pooled_expectancy_nonneg_10bps', dr.pooled_expectancy >= 0, 'pooled_expectancy_10bps=' || {FMT('dr.pooled_expectancy')} FROM g0
+  UNION ALL SELECT '12_concentration_limits', c.trade_count_concentration * 100 <= 60 AND coalesce(c.net_profit_concentration * 100 <= 100, true) AND coalesce(c.absolute_loss_concentration * 100 <= 100, true), 'concentration_within_limits' FROM g0)"""
+
+
+def gates_of(spark, sf, lenient):
+    metrics, symbols, (bars, sessions, grid, b) = session_metrics(spark, sf)
+    every = metrics.filter("grouping = 'all'")
+    paired = ss.paired_outperformance(symbols.filter("grouping = 'all'"), "candidate", "baseline_a")
+    quality = settle(it.session_quality(bars, sessions, grid, b))
+    contract = F.array().cast("array<string>") if lenient else it.contract_reasons()
+    return ss.evaluate_gates(every, paired, ss.data_reasons(quality, contract, it.sufficiency_reasons()), "base", "stress", MINIMUMS)
+
+
+@query(
+    "session_gates",
+    with_(*STUDY, METRICS, GATES, select="""
+SELECT gate, passed, reason, CASE WHEN (SELECT len(rs) FROM g1) > 0 OR (SELECT count(*) FROM gt WHERE passed IS NULL) > 0 THEN 'inconclusive' WHEN (SELECT bool_and(passed) FROM gt) THEN 'supported' ELSE 'not_supported' END AS disposition,
+  CASE WHEN (SELECT len(rs) FROM g1) > 0 THEN 'sample_or_data_sufficiency_minimums_not_met: ' || (SELECT array_to_string(rs, '; ') FROM g1) WHEN (SELECT count(*) FROM gt WHERE passed IS NULL) > 0 THEN 'required_gate_not_computable' WHEN (SELECT bool_and(passed) FROM gt) THEN 'all_gates_passed'
+    ELSE 'gates_failed: ' || (SELECT string_agg(gate, ', ' ORDER BY split_part(gate, '_', 1)::INT) FROM gt WHERE NOT passed) END AS disposition_reason FROM gt"""),
+)
+def _(spark, sf):
+    """The twelve gates of the study, bars outside the session's grid (premarket and after-hours prints) being allowed."""
+    return gates_of(spark, sf, lenient=True)
+
+
+@query(
+    "session_gates_by_contract",
+    with_(*STUDY, METRICS, GATES, select="""
+SELECT gate, passed, reason, 'invalid' AS disposition, (SELECT string_agg(ticker || ':off_grid_bars=' || off, '; ' ORDER BY ticker || ':off_grid_bars=' || off) FROM qual WHERE off > 0) AS disposition_reason FROM gt WHERE gate LIKE '1!_%' ESCAPE '!'"""),
+)
+def _(spark, sf):
+    """The same study under its data contract, which bars off the grid break: invalid, with the reasons."""
+    return gates_of(spark, sf, lenient=False)
 
 
 # ---- weekly study --------------------------------------------------------------------------------
