@@ -1,15 +1,9 @@
-"""Streaming bars, session VWAP, scans and alert cooldowns."""
+"""Bars from ticks on a stream, and draining a stream into a table."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AlertCooldowns
-from ..operators.calendar import local_day
-from ..plans.alerts import KEY, cooldown_minutes
 from ..sources.bars import wide_order
 
 
@@ -30,62 +24,15 @@ def stream_bars(ticks: DataFrame, minutes: int, watermark: str = "10 minutes") -
     )
 
 
-def latest_duplicates(bars: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Re-sent bars of a stream: the last arrival per (ticker, ts) wins."""
-    fields = ["open", "high", "low", "close", "volume"]
-    row = F.max_by(F.struct(*fields), "arrival").alias("r")
-    return bars.withWatermark("ts", watermark).groupBy("ticker", "ts").agg(row).select("ticker", "ts", "r.*")
-
-
-def stream_session_vwap(bars: DataFrame) -> DataFrame:
-    """Running VWAP per (ticker, session) for update mode."""
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    sums = bars.withColumn("session_date", local_day("ts")).groupBy("ticker", "session_date").agg(
-        F.sum(typical * F.col("volume")).alias("pv"), F.sum("volume").alias("v"), F.max("ts").alias("last_bar_time")
-    )
-    return sums.select("ticker", "session_date", "last_bar_time", F.when(F.col("v") > 0, F.try_divide(F.col("pv"), F.col("v"))).alias("vwap"))
-
-
-def with_data_age(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("data_age_minutes", (F.unix_micros(F.current_timestamp()) - F.unix_micros("ts")) / 6e7)
-
-
-def stream_decisions(alerts: DataFrame, config: AlertCooldowns) -> DataFrame:
-    """Cooldown decisions on a stream of alerts: one small state per key (end of the running cooldown)."""
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("observed_at", kind="stable")
-        out = []
-        for r in rows.itertuples():
-            now = r.observed_at.value // 1_000  # microseconds
-            if now < until:
-                out.append("suppressed")
-            elif r.delivered:
-                out.append("sent")
-                until = now + int(r.minutes) * 60_000_000
-            else:
-                out.append("failed")
-        state.update((until,))
-        yield rows.assign(decision=out)[[*KEY, "observed_at", "decision"]]
-
-    keyed = alerts.withColumn("minutes", cooldown_minutes(config)).select(*KEY, "observed_at", "delivered", "minutes")
-    return keyed.groupBy(*KEY).applyInPandasWithState(
-        decide, "ticker string, alert_type string, timeframe string, observed_at timestamp, decision string", "until bigint", "append", "NoTimeout"
-    )
-
-
-def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain what has landed into a parquet table and stop (daily jobs, catch-up runs)."""
+def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", settings: dict[str, str] | None = None) -> None:
+    """Drain what has landed into a parquet table and stop (daily jobs, catch-up runs); ``settings`` hold while the query starts."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def scan_each_batch(stream: DataFrame, scan: Callable[[DataFrame], DataFrame], table: str, query_id: str, checkpoint: str):
-    """Interval scans: every micro-batch is scanned and written under its own batch folder, so a replay overwrites itself."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        out = scan(batch).withColumn("session_id", F.lit(f"{query_id}-{batch_id}"))
-        out.write.mode("overwrite").parquet(f"{table}/query_id={query_id}/batch_id={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

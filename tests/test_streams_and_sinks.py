@@ -13,6 +13,8 @@ from barloom.plans import premarket as pm
 from barloom.sinks import tables as tb
 from barloom.sources import bars as src
 from barloom.streaming import bars as sb
+from barloom.streaming import passes as ps
+from barloom.streaming import sessions as ses
 
 COOL = AlertCooldowns(default_minutes=60, by_type={"coil": 120})
 
@@ -31,11 +33,52 @@ def test_cooldown_batch_and_stream_agree(spark, tmp_path):
     coil = [d for (t, k, _), d in sorted(batch.items()) if (t, k) == ("AAA", "coil")]
     assert [d for (t, _, _), d in sorted(batch.items()) if t == "BBB"] == ["failed", "sent", "suppressed", "suppressed", "sent"]
     assert coil == ["failed", "sent", "suppressed", "suppressed", "sent", "sent"]
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    sb.run_available(sb.stream_decisions(stream, COOL), str(tmp_path / "out"), str(tmp_path / "ck"))
+    late = spark.createDataFrame(pd.DataFrame([("ZZZ", "coil", "short", pd.Timestamp("2024-01-03"), True)], columns=df.columns))  # moves the watermark past all others
+    df.orderBy(F.desc("observed_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("tie", F.lit(""))
+    sb.run_available(ses.cooldown_decisions(stream, COOL, "tie"), str(tmp_path / "out"), str(tmp_path / "ck"), settings=ses.STATE_STORE)
     streamed = {(r.ticker, r.alert_type, r.observed_at): r.decision for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert streamed == batch
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load(str(tmp_path / "ck"))
+    assert {r.key.ticker for r in waiting.collect()} == {"ZZZ"}
+
+
+def test_session_vwap_stream_replaces_versions_and_forgets_sessions(spark, tmp_path):
+    at = lambda d, h: pd.Timestamp(f"2024-01-{d:02d} {h:02d}:00")
+    cols = ["ticker", "ts", "open", "high", "low", "close", "volume", "arrival", "received_at"]
+    first = [("a", at(2, 15), 1.0, 2.0, 1.0, 3.0, 10.0, 0, at(2, 16)), ("a", at(2, 16), 1.0, 9.0, 1.0, 2.0, 10.0, 0, at(2, 17)), ("a", at(28, 15), 1.0, 1.0, 1.0, 1.0, 1.0, 0, at(2, 17))]
+    second = [("a", at(2, 16), 1.0, 6.0, 1.0, 2.0, 20.0, 2, at(2, 17)), ("a", at(2, 16), 1.0, 7.0, 1.0, 2.0, 20.0, 1, at(2, 17)), ("a", at(4, 16), 1.0, 3.0, 1.0, 2.0, 10.0, 0, at(4, 17))]
+    for rows in (first, second):
+        spark.createDataFrame(pd.DataFrame(rows, columns=cols)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sb.run_available(ses.session_vwaps(stream), str(tmp_path / "out"), str(tmp_path / "ck"), settings=ses.STATE_STORE)
+    out = {r.kind: r for r in spark.read.schema(ses.OUT).parquet(str(tmp_path / "out")).collect()}
+    assert set(out) == {"session", "future_bar"} and out["future_bar"].bar_time == at(28, 15)
+    assert out["session"].bars == 2 and out["session"].vwap == pytest.approx((2.0 * 10 + 3.0 * 20) / 30)
+    held = spark.read.format("statestore").option("stateVarName", "bars").load(str(tmp_path / "ck"))
+    assert [str(r.key.session_date) for r in held.collect()] == ["2024-01-04"]
+
+
+def test_trading_day_pass_runs_once(spark, tmp_path):
+    days = spark.createDataFrame([("2024-01-05",), ("2024-01-06",), ("2024-01-08",)], "d string").select(F.to_date("d").alias("session_date"))
+    sessions = cal.sessions_from_days(days)
+    bars = lambda *ts: spark.createDataFrame([(pd.Timestamp(t).to_pydatetime(), 1.0) for t in ts], "ts timestamp, high double").coalesce(1)
+    bars("2024-01-05 15:00", "2024-01-06 15:00").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, high double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = lambda ck: ps.run_pass(stream, sessions, lambda b: b.select("scan_date", "high"), str(tmp_path / "t"), "q", str(tmp_path / ck))
+    run("ck")
+    run("ck")
+    run("lost")  # a checkpoint that is gone replays the batch into its own folder
+    ledger, results = ps.committed(spark, str(tmp_path / "t"))
+    assert {(str(r.scan_date), r.trading_date is None, r.status, r.landed_rows) for r in ledger.collect()} == {("2024-01-05", False, "scanned", 1), ("2024-01-06", True, "skipped_closed", 1)}
+    assert ledger.count() == 2 and [str(r.scan_date) for r in results.collect()] == ["2024-01-05"]
+    bars("2024-01-08 15:00").write.mode("append").parquet(str(tmp_path / "in"))
+    run("ck")
+    ledger, results = ps.committed(spark, str(tmp_path / "t"))
+    assert ledger.count() == 3 and results.count() == 2 and {r.batch_id for r in ledger.collect()} == {0, 1}
+    spark.createDataFrame([("2024-01-05", 9.0)], "scan_date string, high double").selectExpr("CAST(scan_date AS DATE) AS scan_date", "high").write.parquet(str(tmp_path / "t/results/query_id=q/batch_id=7"))
+    assert ps.committed(spark, str(tmp_path / "t"))[1].count() == 2  # results without a ledger are not committed
 
 
 def test_alerts_of_one_instant_go_by_the_tie_columns(spark):
@@ -64,14 +107,6 @@ def test_stream_bars_equal_batch_bars(spark, tmp_path):
     assert got[["open", "high", "low", "close", "volume"]].to_numpy().tolist() == want[["first", "max", "min", "last", "count"]].astype(float).to_numpy().tolist()
 
 
-def test_scan_batches_are_idempotent(spark, tmp_path):
-    spark.range(5).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
-    for ck in ("c1", "c2"):  # a second run from scratch replays batch 0
-        sb.scan_each_batch(stream, lambda b: b, str(tmp_path / "scans"), "q", str(tmp_path / ck)).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "scans")).count() == 5
-
-
 def test_append_scan_rejects_a_repeated_session(spark, tmp_path):
     session = spark.createDataFrame([("s1", "short")], "session_id string, timeframe string")
     rows = spark.createDataFrame([("s1", "A", 50)], "session_id string, ticker string, score int")
