@@ -296,23 +296,6 @@ def date_bound(bars: DataFrame, start: str, end: str, expected: int, threshold_p
 
 # ---- manifests and facts ------------------------------------------------------------------------
 
-def file_hashes(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Name, size and sha256 of every file; hashing is spread over tasks by file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def manifest_integrity(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Every listed or present file with its verdict; a path that leaves the dataset is rejected."""
-    m = manifest.select("relative_path", F.col("sha256").alias("expected_sha256"))
-    escape = F.col("relative_path").startswith("/") | F.col("relative_path").contains("..")
-    return found.join(m, "relative_path", "full").withColumn(
-        "verdict",
-        F.when(escape, "path_escape").when(F.col("sha256").isNull(), "missing_file").when(F.col("expected_sha256").isNull(), "unlisted_file")
-        .when(F.col("sha256") == F.col("expected_sha256"), "ok").otherwise("hash_mismatch"),
-    )
-
-
 def bundle_check(parts: dict[str, DataFrame], keys: Sequence[str] = ("ticker", "effective_month")) -> DataFrame:
     """Key sets of several tables compared: one row per key that is absent or repeated somewhere."""
     out = None
@@ -324,13 +307,6 @@ def bundle_check(parts: dict[str, DataFrame], keys: Sequence[str] = ("ticker", "
     return out.filter((F.least(*[F.col(f"n_{n}") for n in parts]) != 1) | (F.greatest(*[F.col(f"n_{n}") for n in parts]) != 1))
 
 
-def explode_facts(raw: DataFrame) -> DataFrame:
-    """Nested facts (``key``, ``facts`` map concept -> unit -> entries) to one row per entry."""
-    return raw.select("key", F.explode("facts").alias("concept", "units")).select("key", "concept", F.explode("units").alias("unit", "entries")).select(
-        "key", "concept", "unit", F.explode("entries").alias("e")
-    ).select("key", "concept", "unit", "e.*")
-
-
 def newest_fact_as_of(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Fact with the latest period end (then filing date) known at each request: period, filing and acceptance all past.
 
@@ -340,10 +316,3 @@ def newest_fact_as_of(requests: DataFrame, facts: DataFrame) -> DataFrame:
     known = facts.withColumn("ts", F.greatest(F.col("period_end").cast("timestamp"), F.col("filed").cast("timestamp"), F.col("accepted_at")))
     asked = requests.withColumn("ts", F.col("as_of"))
     return as_of_join(asked, known, ["key"], ["period_end", "filed", "value"], best=["period_end", "filed", "value"]).drop("ts", "asof_ts")
-
-
-def family_verdict(flags: dict[str, Column], required: Sequence[str]) -> Column:
-    """Evidence verdict of a data family from its boolean flags."""
-    present = [F.coalesce(flags[n], F.lit(False)) for n in required]
-    good = sum((p.cast("int") for p in present), F.lit(0))
-    return F.when(good == len(required), "supported").when(good == 0, "unsupported").otherwise("clipped_but_contains_partial_requested_range")

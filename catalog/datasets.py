@@ -221,13 +221,6 @@ def _(spark, sf):
     return ds.date_bound(src.daily_bars(spark, sf), "2000-01-01", "2000-12-31", 366, 60.0).drop("first", "last")
 
 
-@query("manifest_integrity")
-def _(spark, sf):
-    found = ds.file_hashes(spark, sf, "*.parquet")
-    listed = found.select("relative_path", F.when(F.length("relative_path") % 2 == 0, F.col("sha256")).otherwise("stale").alias("sha256"))
-    return ds.manifest_integrity(found, listed)
-
-
 @query(
     "bundle_cross_check",
     with_(DAILY, """
