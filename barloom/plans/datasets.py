@@ -316,3 +316,23 @@ def newest_fact_as_of(requests: DataFrame, facts: DataFrame) -> DataFrame:
     known = facts.withColumn("ts", F.greatest(F.col("period_end").cast("timestamp"), F.col("filed").cast("timestamp"), F.col("accepted_at")))
     asked = requests.withColumn("ts", F.col("as_of"))
     return as_of_join(asked, known, ["key"], ["period_end", "filed", "value"], best=["period_end", "filed", "value"]).drop("ts", "asof_ts")
+
+
+def family_dispositions(evidence: DataFrame, contract: DataFrame) -> DataFrame:
+    """One row per data family of the contract: disposition, confidence, blockers, limitations, and the overall disposition and confidence.
+
+    ``contract`` has family, flag and required; ``evidence`` family, flag, satisfied, attempted (a provider was asked). A required flag that no
+    evidence satisfies blocks its family. A family without an attempt is told apart by a limitation. One blocked family blocks the whole.
+    """
+    # Dispositions, confidence and texts.
+    met = evidence.groupBy("family", "flag").agg(F.bool_or("satisfied").alias("satisfied"))
+    tried = evidence.groupBy("family").agg(F.bool_or("attempted").alias("attempted"))
+    needed = contract.join(met, ["family", "flag"], "left").withColumn("_unmet", F.col("required") & ~F.coalesce("satisfied", F.lit(False)))
+    blocked = F.when(F.col("_unmet"), F.concat(F.lit("minimum_usable_contract."), "flag", F.lit(" not satisfied")))
+    per = needed.groupBy("family").agg(F.array_sort(F.collect_list(blocked)).alias("blockers")).join(tried, "family", "left")  # a family's flags are few
+    bad = F.size("blockers") > 0
+    out = per.select(
+        "family", F.when(bad, "not_supported").otherwise("supported_with_documented_limitations").alias("disposition"), F.lit("limited_but_usable_evidence").alias("evidence_confidence"), "blockers",
+        F.when(bad & ~F.coalesce("attempted", F.lit(False)), F.array(F.lit("No provider attempt recorded for this family."))).otherwise(F.array().cast("array<string>")).alias("limitations"))
+    whole = out.agg(F.when(F.bool_or(F.col("disposition") == "not_supported"), "not_supported").otherwise("supported_with_documented_limitations").alias("overall_disposition"))
+    return out.crossJoin(F.broadcast(whole)).withColumn("overall_confidence", F.lit("limited_but_usable_evidence"))

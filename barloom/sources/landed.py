@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import urllib.parse
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,16 +20,25 @@ def folder_path(spark: SparkSession, root: str) -> str:
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
 
 
-def relative(column: str, folder: str) -> F.Column:
-    """A file's path below ``folder``; file columns hold escaped addresses."""
-    plain = F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+def relative(column: str, folder: str, escaped: bool = True) -> F.Column:
+    """A file's path below ``folder``; ``_metadata.file_path`` is an escaped address, the path of a binary file is not."""
+    plain = F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))) if escaped else F.col(column)
     return F.substring_index(plain, folder + "/", -1)
 
 
 def present_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """``relative_path, bytes`` of every file below a folder; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select(relative("path", folder_path(spark, root)).alias("relative_path"), F.col("length").alias("bytes"))
+    return files.select(relative("path", folder_path(spark, root), escaped=False).alias("relative_path"), F.col("length").alias("bytes"))
+
+
+def opened_store(root: str):
+    """The file system of a folder and the folder's path there; a path without a scheme is local (or mounted)."""
+    from pyarrow import fs
+
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), urllib.parse.unquote(urllib.parse.urlparse(root).path)
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
 def hashed_files(files: DataFrame, root: str) -> DataFrame:
@@ -40,9 +50,7 @@ def hashed_files(files: DataFrame, root: str) -> DataFrame:
     at = names.index("relative_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        store, base = opened_store(root)
         for batch in batches:
             found = []
             for name in batch.column(at).to_pylist():
@@ -108,12 +116,15 @@ def eligible_months(files: DataFrame, quality: DataFrame, universe: DataFrame) -
 
 
 def read_eligible_months(spark: SparkSession, path: str, eligible: DataFrame) -> DataFrame:
-    """Bars of eligible symbol-months with their columns; partitions of other months and symbols are not read (dynamic partition pruning)."""
+    """Bars of eligible symbol-months with their columns; partitions of months or symbols without any are not read (dynamic partition pruning)."""
     return spark.read.parquet(path).join(eligible, ["effective_month", "symbol"])
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
-    """JSON documents of a fixed schema, one per line (or file); ``_corrupt`` holds the text of those that do not parse."""
+    """JSON documents of a fixed schema, one per line (or file); ``_corrupt`` holds the text of those that do not parse.
+
+    Write the result before asking for ``_corrupt`` alone: Spark does not parse for that column by itself.
+    """
     return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 

@@ -278,3 +278,23 @@ def _(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     raw = p.select(F.concat(F.lit(" $"), F.lower(F.regexp_replace("p_type", " ", "")), F.col("p_size"), F.lit(" ")).alias("symbol"), F.col("p_partkey").alias("pos"))
     return ds.distinct_symbols(raw)
+
+
+@query(
+    "family_dispositions",
+    with_(select="""
+WITH ev AS (SELECT c_mktsegment AS f, avg(c_acctbal) > 4500 AS balance, count(*) > 250 AS size, min(c_acctbal) < 0 AS debts, bool_or(c_custkey % 2 = 0 AND c_mktsegment <> 'MACHINERY') AS tried FROM customer GROUP BY 1),
+bl AS (SELECT *, list_sort(list_filter([CASE WHEN NOT balance THEN 'minimum_usable_contract.balance not satisfied' END, CASE WHEN NOT size THEN 'minimum_usable_contract.size not satisfied' END, CASE WHEN f = 'BUILDING' THEN 'minimum_usable_contract.history not satisfied' END], lambda x: x IS NOT NULL)) AS b FROM ev)
+SELECT f AS family, CASE WHEN len(b) > 0 THEN 'not_supported' ELSE 'supported_with_documented_limitations' END AS disposition, 'limited_but_usable_evidence' AS evidence_confidence, array_to_string(b, '|') AS blockers,
+  CASE WHEN len(b) > 0 AND NOT tried THEN 'No provider attempt recorded for this family.' ELSE '' END AS limitations, CASE WHEN (SELECT count(*) FROM bl WHERE len(b) > 0) > 0 THEN 'not_supported' ELSE 'supported_with_documented_limitations' END AS overall_disposition, 'limited_but_usable_evidence' AS overall_confidence FROM bl""").replace("WITH RECURSIVE \n", "").lstrip(),
+)
+def _(spark, sf):
+    """Evidence of data families against their minimum contracts."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").withColumnRenamed("c_mktsegment", "family")
+    flags = F.array(*[F.struct(F.lit(n).alias("flag"), x.alias("satisfied")) for n, x in (("balance", F.col("a") > 4500), ("size", F.col("n") > 250), ("debts", F.col("m") < 0))])
+    per = c.groupBy("family").agg(F.avg("c_acctbal").alias("a"), F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("m"), F.bool_or((F.col("c_custkey") % 2 == 0) & (F.col("family") != "MACHINERY")).alias("attempted"))
+    evidence = per.select("family", "attempted", F.inline(flags))
+    families = per.select("family")
+    contract = families.select("family", F.explode(F.array(F.lit("balance"), F.lit("size"))).alias("flag")).withColumn("required", F.lit(True)).unionByName(
+        families.filter("family = 'BUILDING'").select("family", F.lit("history").alias("flag"), F.lit(True).alias("required"))).unionByName(families.select("family", F.lit("debts").alias("flag"), F.lit(False).alias("required")))
+    return tidy(ds.family_dispositions(evidence, contract))

@@ -10,7 +10,7 @@ from barloom.plans import session_study as ss
 from barloom.plans import weekly as wk
 from barloom.session import settle
 from barloom.sources import bars as src
-from oracle.sql import DAILY, MARKET, day, event_bars, indicators, minute, numbered, r, with_
+from oracle.sql import DAILY, MARKET, bootstrap, day, event_bars, indicators, minute, numbered, r, with_
 
 from .base import query, tidy
 from .bars import EXPANDING, INTRADAY_SCORE, LONG_SCORE, WEEKLY, weekly
@@ -472,11 +472,29 @@ def _(spark, sf):
     return tidy(weekly_evidence(spark, sf), 3)
 
 
-@query("weekly_conclusion")
+PAIRS = f"""
+pc AS MATERIALIZED (
+  SELECT split, horizon, ticker || ':' || year(ts) AS cluster, avg({WNET(10)}) FILTER (rule = 'candidate') - avg({WNET(10)}) FILTER (rule = 'baseline') AS s, 1 AS n
+  FROM wt WHERE status = 'complete' GROUP BY split, horizon, ticker, year(ts) HAVING count(*) FILTER (rule = 'candidate') > 0 AND count(*) FILTER (rule = 'baseline') > 0)"""
+VERDICT = f"""
+ci AS (SELECT split, horizon, quantile_cont(s / n, 0.025) AS lo, quantile_cont(s / n, 0.975) AS hi FROM pb GROUP BY 1, 2),
+es AS (SELECT split, sum(cn)::BIGINT AS cc, sum(bn)::BIGINT AS bc, any_value(lift) AS lift, any_value(dl) AS dl, any_value(ql) AS ql, count(*) FILTER (cn > 0 AND cohort = 'stock') AS cs, count(*) FILTER (cn > 0 AND cohort = 'etf') AS ce,
+  count(*) FILTER (bn > 0 AND cohort = 'stock') AS bs, count(*) FILTER (bn > 0 AND cohort = 'etf') AS be, {SHARE('stock')} AS ls, {SHARE('etf')} AS le FROM ev JOIN eg USING (split) GROUP BY 1),
+one AS (SELECT h.*, lo, hi, (SELECT lift FROM es WHERE split = 'validation') AS vl FROM (SELECT 1) LEFT JOIN (SELECT * FROM es WHERE split = 'holdout') h ON true LEFT JOIN (SELECT * FROM ci WHERE split = 'holdout' AND horizon = 13) ON true)"""
+
+
+@query(
+    "weekly_conclusion",
+    with_(*WPARTS, EVIDENCE, PAIRS, bootstrap("pc", "split, horizon", ["s", "n"], EVIDENCED.bootstrap_resamples, EVIDENCED.bootstrap_seed, "pb"), VERDICT, select=f"""
+SELECT cc AS candidate_count, bc AS baseline_count, {r('lift', 3)} AS lift_pct, {r('dl', 3)} AS sensitivity_lift_pct, cs AS candidate_stock_tickers, ce AS candidate_etf_tickers, bs AS baseline_stock_tickers, be AS baseline_etf_tickers, {r('ls', 3)} AS leading_stock_share, {r('le', 3)} AS leading_etf_share,
+  {r('ql', 3)} AS q10_lift_pct, {r('lo', 3)} AS ci_low, {r('hi', 3)} AS ci_high, {r('vl', 3)} AS validation_lift_pct,
+  CASE WHEN coalesce(hi <= 0, false) OR coalesce(lift <= -0.5, false) OR (coalesce(ql < -2, false) AND coalesce(lift <= 0, true)) THEN 'reject_or_deprioritize'
+    WHEN coalesce(cc >= 20 AND bc >= 20 AND cs >= 5 AND ce >= 2 AND bs >= 5 AND be >= 2 AND lift >= 0.5 AND lo > 0 AND ql >= -1 AND dl > 0 AND ls >= 0.6 AND le >= 0.6 AND vl > 0, false) THEN 'supports_further_research' ELSE 'inconclusive' END AS conclusion FROM one"""),
+)
 def _(spark, sf):
-    """The study's verdict; the interval's draws are hashes that SQL engines do not share."""
+    """The study's verdict from the holdout's evidence and the interval of paired clusters."""
     boot = wk.paired_bootstrap(weekly_rows(spark, sf, True).filter("outcome_status = 'complete'"), "net_return_pct_10bps", EVIDENCED)
-    return wk.conclusion(weekly_evidence(spark, sf), boot, EVIDENCED)
+    return tidy(wk.conclusion(weekly_evidence(spark, sf), boot, EVIDENCED), 3)
 
 
 @query(

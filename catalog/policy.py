@@ -1,6 +1,8 @@
 """Context event study, gated backtest and policy selection."""
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from barloom.operators.blocks import owned
@@ -106,8 +108,26 @@ def _(spark, sf):
     return tidy(t.select("ticker", "signal_time", "exit_time", "score", "exit_reason", "net_return_pct"), 3)
 
 
+HOLDOUT = next(x for x in SPLITS if x.name == "holdout")
+WARMUP = 60
+
+
+def paired(spark, sf):
+    """Both backtests over the holdout window and its warmup alone, every ticker."""
+    bars, proxies, mapping = market_parts(spark, sf)
+    window = settle(cs.holdout_bars(bars, HOLDOUT, WARMUP))
+    scored = settle(bt.scored_bars(window))
+    context = cs.with_market_context(scored.select("ticker", "ts"), settle(cx.regimes(proxies)), settle(cx.relative_strength(bars, proxies, mapping)))
+    return settle(cs.paired_backtests(scored, settle(cs.gated_scores(scored, context)), dataclasses.replace(BT, warmup_bars=WARMUP)))
+
+
 @query("paired_backtests")
 def _(spark, sf):
-    """Ungated and gated backtest of every ticker side by side."""
-    scored, g = gated(spark, sf)
-    return cs.paired_backtests(scored, g, BT)
+    """Ungated and gated backtest of every ticker side by side, in the holdout window."""
+    return paired(spark, sf)
+
+
+@query("executable_gate")
+def _(spark, sf):
+    """The verdict over all tickers: medians, means, drawdown tolerance, with the reasons of a failure."""
+    return cs.executable_gate(paired(spark, sf))

@@ -87,3 +87,46 @@ def test_malformed_alert_keys_are_kept_apart(spark):
     df = spark.createDataFrame([(" aa ", "Coil", "1D"), ("a b", "coil", "1d"), (None, "coil", "1d"), ("AA", "9x", "1d")], "ticker string, alert_type string, timeframe string")
     assert [tuple(r) for r in al.normalize_key(df).collect()] == [("AA", "coil", "1d")]
     assert al.normalize_key(df, malformed=True).count() == 3
+
+
+def test_executable_gate_against_a_plain_version(spark):
+    import numpy as np
+
+    from barloom.plans.context_study import FAILURES, executable_gate
+
+    cols = "ticker string, baseline_total_trades int, baseline_expectancy_pct double, baseline_total_return_pct double, baseline_max_drawdown_pct double, candidate_total_trades int, candidate_expectancy_pct double, candidate_total_return_pct double, candidate_max_drawdown_pct double"
+
+    def plain(rows):
+        both = [r for r in rows if r[1] is not None and r[5] is not None]
+        if not both:
+            return [FAILURES["none"]]
+        some = [r for r in both if r[5] > 0]
+        if not some:
+            return [FAILURES["zero"]]
+        col = lambda i: [r[i] for r in some if r[i] is not None]
+        out = [FAILURES["one"]] if len(some) == 1 else []
+        out += [FAILURES["median"]] if np.median(col(6)) <= np.median(col(2)) else []
+        out += [FAILURES["mean"]] if np.mean(col(6)) <= np.mean(col(2)) else []
+        out += [FAILURES["return"]] if np.median(col(7)) < np.median(col(3)) else []
+        return out + ([FAILURES["drawdown"]] if np.median(col(8)) < np.median(col(4)) - 2 else [])
+
+    rng = np.random.default_rng(2)
+    row = lambda i: (f"t{i}", int(rng.integers(1, 9)), *map(float, rng.normal(size=2)), float(-rng.integers(1, 9)), int(rng.integers(0, 4)), *map(float, rng.normal(0.3, 1, size=2)), float(-rng.integers(1, 9)))
+    cases = [[row(i) for i in range(n)] for n in (1, 2, 5, 9)]
+    cases += [[], [("a", None, None, None, None, 3, 1.0, 1.0, -1.0)], [("a", 2, 1.0, 1.0, -1.0, 0, None, 0.0, 0.0)], [(f"t{i}", 3, 0.1 * i, 1.0, -3.0, 2, 0.1 * i + 0.2, 2.0, -4.5) for i in range(3)]]
+    for rows in cases:
+        got = executable_gate(spark.createDataFrame(rows, cols)).first()
+        assert got.failure_reasons == plain(rows) and got.passed == (not plain(rows))
+    assert got.passed
+
+
+def test_holdout_bars_keep_their_warmup_alone(spark):
+    import datetime as dt
+
+    from barloom.config import Split
+    from barloom.plans.context_study import holdout_bars
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [("a", day(i), float(i)) for i in range(40)] + [("few", day(i), 1.0) for i in range(18, 30)] + [("none", day(i), 1.0) for i in range(5)]
+    got = holdout_bars(spark.createDataFrame(rows, "ticker string, ts timestamp, close double"), Split("holdout", "2024-01-21", "2024-01-31"), 6).collect()
+    assert sorted(r.close for r in got if r.ticker == "a") == [float(i) for i in range(15, 31)] and {r.ticker for r in got} == {"a"}
