@@ -27,8 +27,8 @@ FEW = 32
 #: Words whose counts set the order of rarity, and members of one that a task compares at a time.
 COUNTED, PART = 65_536, 1024
 CHUNK = 4096
-#: Counters of a text's bags of words and of word pairs, and what a full one says.
-BAG, PAIRS, FULL = 256, 1024, 255
+#: Bits of a text's bitmap, which tells texts apart before they are fetched.
+BITS = 512
 # Odd multipliers for mixing 64-bit numbers.
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -243,95 +243,59 @@ def untested(live: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(sizes, "mark")
 
 
-def bags(texts: DataFrame) -> DataFrame:
-    """``node, bag``: a text's words counted by hash in ``BAG`` counters of a byte, then its pairs of neighbours in ``PAIRS``; ``FULL`` is that many or more.
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """``node, b0, b1, ...``: a bit for every hash value of a text's words with their occurrence numbers, set if an odd number of them has it.
 
-    Two texts share at most the sum of their counters' minima, so texts that cannot be similar are told apart without the texts.
+    A bit in which two texts differ stands for at least one word that they do not share.
     """
+    names = [f"b{i}" for i in range(BITS // 64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = WordNumbers()
         for batch in batches:
-            found = []
-            for text in as_bytes(batch.column(1)):
+            found = np.zeros((batch.num_rows, BITS // 64), np.int64)
+            for i, text in enumerate(as_bytes(batch.column(1))):
                 words = byte_words(text)
-                h = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
-                two = mixed(h[:-1] * MIX[0] + h[1:])
-                both = [np.bincount((x % np.uint64(n)).astype(np.int64), minlength=n) for x, n in ((h, BAG), (two, PAIRS))]
-                found.append(np.minimum(np.concatenate(both), FULL).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "bag"])
+                tokens = kmers(np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words)), 1)
+                odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                found[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(found.shape[1]))], names=["node", *names])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, bag binary")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-PAIR = "a bigint, b bigint"
+def may_match(least: float) -> F.Column:
+    """Whether lengths and bitmaps (those of the other side begin with ``o``) allow a similarity of ``least``: 1 - least of all words may not be shared."""
+    apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(BITS // 64)), F.lit(0))
+    return fits(least) & (apart <= (1 - least) * (F.col("words") + F.col("other_words")) + 1e-6)
 
 
-def meet(held: DataFrame, passing: DataFrame, key: list[str], least: float) -> DataFrame:
-    """Pairs ``a, b`` of the held and the passing rows of a key that are in different components and may be similar by lengths and bags.
-
-    Of n words in both, ``least * n / 2`` at least are common in order. A word that is not common parts one pair of common neighbours at most,
-    so ``(1.5 * least - 1) * n - 1`` pairs of neighbours are common too.
-    Both have the key, node, label, words and bag. A task holds one key's held rows and lets the others pass by; only pairs that survive
-    leave it.
-    """
-    columns = [*key, "kind", "node", "label", "words", "bag"]
-    both = held.withColumn("kind", F.lit(0)).select(*columns).unionByName(passing.withColumn("kind", F.lit(1)).select(*columns))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, ready = None, [], None
-        for batch in batches:
-            cells = [batch.column(i).to_pylist() for i in range(len(columns))]
-            left, right = [], []
-            for *where, kind, node, label, words, bag in zip(*cells):
-                if where != at:
-                    at, rows, ready = where, [], None
-                if kind == 0:
-                    rows.append((node, label, words, bag))
-                    continue
-                if ready is None:
-                    if not rows:
-                        continue
-                    ids, labels, lengths = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-                    ready = ids, labels, lengths, np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, BAG + PAIRS)
-                ids, labels, lengths, counters = ready
-                may = np.flatnonzero((labels != label) & (2 * np.minimum(lengths, words) >= least * (lengths + words)))
-                if not len(may):
-                    continue
-                own = np.frombuffer(bag, np.uint8)
-                for part, share, loss in ((slice(0, BAG), least / 2, 0), (slice(BAG, None), 1.5 * least - 1, 1)):
-                    smaller = np.minimum(counters[may, part], own[part])
-                    common = np.where((smaller == FULL).any(axis=1), np.inf, smaller.sum(axis=1, dtype=np.int64))
-                    may = may[common >= share * (lengths[may] + words) - loss - 1e-6]
-                left += np.minimum(ids[may], node).tolist()
-                right += np.maximum(ids[may], node).tolist()
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return both.repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(run, PAIR).distinct()
+def other_side(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("words").alias("other_words"), *[F.col(f"b{i}").alias(f"o{i}") for i in range(BITS // 64)])
 
 
 def small_pairs(members: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Pairs ``a, b`` within the buckets of ``members`` that are in different components and may be similar."""
-    own = scratch.keep(bags(texts.join(members.select("node").distinct(), "node")))
-    rows = scratch.keep(members.select("mark", "node", "label", "words").join(own, "node"))
-    return meet(rows, rows, ["mark"], least)
+    own = scratch.keep(bitmaps(texts.join(members.select("node").distinct(), "node")))
+    rows = members.select("mark", "node", "label", "words").join(own, "node")
+    met = rows.join(other_side(rows, "mark"), "mark").filter("node < other and label <> other_label").filter(may_match(least))
+    return met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def hot_pairs(members: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Pairs ``a, b`` of ``members`` in different components that can reach ``least`` by the words that they have in common.
 
-    They meet at their rarest words (``word_marks``), a word's longer texts in parts that a task can hold.
+    They meet at their rarest words (``word_marks``); lengths and bitmaps are compared as they meet.
     """
     nodes = members.select("node", "label", "words").distinct()
     of = scratch.keep(texts.join(nodes.select("node"), "node"))
     counted = word_marks(of).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(COUNTED)
-    nodes = nodes.join(bags(of), "node")
-    marks = word_marks(of, {r["token"]: r["n"] for r in counted.collect()}, least)
-    several = marks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    marks = scratch.keep(marks.join(several, "token").join(nodes, "node"))
-    short = marks.filter("short").select("token", "node", "label", "words", "bag", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    long = marks.select("token", "node", "label", "words", "bag", F.pmod(F.xxhash64("node"), "parts").alias("part"))
-    return meet(long, short, ["token", "part"], least)
+    nodes = scratch.keep(nodes.join(bitmaps(of), "node"))
+    marks = scratch.keep(word_marks(of, {r["token"]: r["n"] for r in counted.collect()}, least).join(nodes, "node"))
+    short = marks.filter("short").select("token", "node", "label", "words", *[f"b{i}" for i in range(BITS // 64)], F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    long = other_side(marks.withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "token", "part")
+    met = short.join(long, ["token", "part"]).filter("words <= other_words and label <> other_label").filter(may_match(least))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, scratch: Scratch, least: float = SIMILAR) -> DataFrame:
@@ -342,7 +306,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, least: float = SIMILAR) -> D
     tested, leaves its bucket. In buckets that still hold several components, all members then meet another one, chosen anew by a hash, until a
     round adds less than ``CONVERGED`` of the links. What is then untested in different components is compared pair by pair: in buckets of
     ``FEW`` members all pairs, in larger ones those that can reach the similarity by their rarest words (``word_marks``; it loses none), and of
-    these the pairs whose lengths and bags of words allow the similarity (``meet``; it loses none either). So no candidate pair of different
+    these the pairs whose lengths and bitmaps allow the similarity (``bitmaps``; they lose none either). So no candidate pair of different
     components is left. Classes are the components of all links.
 
     Words: runs of ASCII letters and digits and all other characters beyond ASCII, ASCII letters in lower case. Null texts are classes of their own; texts

@@ -38,9 +38,9 @@ def matrices(batch: pa.RecordBatch, at: int, width: int) -> Iterator[tuple[int,
         bad = np.concatenate([[0], np.cumsum(~good)])
         valid = valid & (bad[ends] == bad[ends - lengths])
         out = np.zeros((len(lengths), width))
-        if len(lengths) and (lengths == width).all():
+        if width and len(lengths) and (lengths == width).all():
             out[:] = flat.reshape(-1, width)
-        else:
+        elif width:
             fits = np.minimum(lengths, width)
             out[np.arange(width) < fits[:, None]] = flat[np.arange(len(flat)) - np.repeat(ends - lengths, lengths) < width]
         out[~valid] = 0
