@@ -112,3 +112,45 @@ def feed_grid_comparison(a: DataFrame, b: DataFrame, series: DataFrame, grid: Da
         .otherwise("different_ohlc")
     )
     return out.withColumn("classification", label)
+
+
+def session_days(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Close and volume of every regular session out of intraday bars of any length."""
+    s = F.broadcast(sessions.select("session_date", "opens_at", "closes_at"))  # one row a day
+    inside = bars.withColumn("session_date", local_day("ts")).join(s, "session_date").filter((F.col("ts") >= F.col("opens_at")) & (F.col("ts") < F.col("closes_at")))
+    return inside.groupBy("ticker", "session_date").agg(F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"))
+
+
+def timeframe_parity(bars: DataFrame, reference: DataFrame, sessions: DataFrame, tolerance_pct: float) -> DataFrame:
+    """Bars of two lengths, each summed up to sessions: one row per session of the reference with the differences in percent and the verdict.
+
+    A session that ``bars`` lacks is ``missing``; one beyond the tolerance in close or volume is a ``mismatch``.
+    """
+    a = session_days(bars, sessions).withColumnsRenamed({"close": "other_close", "volume": "other_volume"})
+    j = session_days(reference, sessions).join(a, ["ticker", "session_date"], "left")
+    off = lambda c: F.abs(F.col(f"other_{c}") - F.col(c)) / F.greatest(F.col(c), F.lit(1e-9)) * 100
+    j = j.withColumns({"close_diff_pct": off("close"), "volume_diff_pct": off("volume")})
+    far = (F.col("close_diff_pct") > tolerance_pct) | (F.col("volume_diff_pct") > tolerance_pct)
+    verdict = F.when(F.col("other_close").isNull(), "missing").when(far, "mismatch").otherwise("ok")
+    return j.select("ticker", "session_date", "close_diff_pct", "volume_diff_pct", verdict.alias("verdict"))
+
+
+def ticker_checks(bars: DataFrame, start: str, end: str, lookback: int, holding: int) -> DataFrame:
+    """One row per ticker of a pattern snapshot: rows dropped by reason, and the bars with a full look-back or enough bars ahead.
+
+    ``bars`` has ``arrival``; the last row of a time is kept. Bars outside [start, end] go next, then rows that break the price rules or lack a
+    figure. ``missing_required_values`` counts figures, the others rows.
+    """
+    cols = [*PRICES, "volume"]
+    kept = bars.groupBy("ticker", "ts").agg(F.max_by(F.struct(*cols), "arrival").alias("r"), F.count(F.lit(1)).alias("n")).select("ticker", "ts", "n", "r.*")
+    inside = F.to_date("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    absent = [F.when(F.col(c).isNull() | F.isnan(c), 1).otherwise(0) for c in cols]
+    endless = F.greatest(*[F.abs(c) for c in cols]) == float("inf")
+    bad = F.coalesce(invalid_ohlc() | (F.least(*PRICES) <= 0) | (F.col("volume") < 0) | endless, F.lit(True)) | (sum(absent, F.lit(0)) > 0)
+    good = inside & ~bad
+    out = kept.groupBy("ticker").agg(
+        F.sum(F.col("n") - 1).alias("duplicate_timestamps"), F.count_if(~inside).alias("bars_outside_range"), F.sum(F.when(inside, sum(absent, F.lit(0))).otherwise(0)).alias("missing_required_values"),
+        F.count_if(inside & bad).alias("invalid_ohlc_rows"), F.count_if(good).alias("bars"),
+    )
+    full = lambda n: F.greatest(F.lit(0), F.col("bars") - n)
+    return out.withColumns({"complete_lookbacks": full(lookback - 1), "complete_forward_bars": full(holding)})

@@ -288,3 +288,41 @@ def _(spark, sf):
     for turn in range(3):
         vs.put_earnings(tables, once.filter(F.col("turn") == turn).drop("turn"))
     return tidy(tables.read("earnings"))
+
+
+@query(
+    "timeframe_parity",
+    with_(event_bars(60), SESSIONS, f"""
+td AS (SELECT event_type AS ticker, s.d, event_id, e.ts, value FROM events e JOIN sess s ON e.ts >= opens AND e.ts < closes),
+ref AS (SELECT ticker, d, last(value ORDER BY ts, event_id) AS c, count(*)::DOUBLE AS v FROM td GROUP BY 1, 2),
+oth AS (SELECT ticker, d, last(value ORDER BY ts, event_id) AS c, count(*)::DOUBLE AS v FROM td WHERE NOT (ticker = 'view' AND event_id % 7 = 0) AND NOT (ticker = 'click' AND day(d) = 9) GROUP BY 1, 2)""",
+        select=f"""
+SELECT ticker, {day('d')} AS session_date, {r('abs(o.c - r.c) / greatest(r.c, 1e-9) * 100')} AS close_diff_pct, {r('abs(o.v - r.v) / greatest(r.v, 1e-9) * 100')} AS volume_diff_pct,
+  CASE WHEN o.c IS NULL THEN 'missing' WHEN abs(o.c - r.c) / greatest(r.c, 1e-9) * 100 > 0.5 OR abs(o.v - r.v) / greatest(r.v, 1e-9) * 100 > 0.5 THEN 'mismatch' ELSE 'ok' END AS verdict FROM ref r LEFT JOIN oth o USING (ticker, d)"""),
+)
+def _(spark, sf):
+    """Half-hour bars summed up to sessions against five-minute bars, one series thinned and one with a day missing."""
+    fine = settle(src.event_bars(spark, sf, 5))
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    t = F.col("ts").cast("timestamp")
+    day_of = F.dayofmonth(F.from_utc_timestamp(t, cal.ZONE))
+    some = ev.filter(~((F.col("event_type") == "view") & (F.col("event_id") % 7 == 0)) & ~((F.col("event_type") == "click") & (day_of == 9)))
+    start = F.timestamp_seconds(F.floor(F.unix_seconds(t) / 1800) * 1800)
+    ticks = some.select(F.col("event_type").alias("ticker"), start.alias("bar_ts"), F.unix_micros(t).alias("us"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("quantity"))
+    coarse = src.ticks_to_bars(ticks, ["ticker", "bar_ts"], src.wide_order(F.col("us") - F.unix_micros("bar_ts"), F.col("event_id"))).withColumnRenamed("bar_ts", "ts")
+    return tidy(fd.timeframe_parity(coarse, fine, event_calendar(src.event_bars(spark, sf, 60)), 0.5))
+
+
+@query(
+    "pattern_snapshot_check",
+    with_(DAILY, """
+pl AS (SELECT *, ts::DATE BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AS inside, day(ts) = 11 AS gone, day(ts) = 13 AS broken FROM bars),
+ck AS (SELECT ticker, count(*) FILTER (day(ts) = 7) AS dup, count(*) FILTER (NOT inside) AS outside, count(*) FILTER (inside AND gone) AS missing, count(*) FILTER (inside AND (gone OR broken)) AS invalid, count(*) FILTER (inside AND NOT gone AND NOT broken) AS n FROM pl GROUP BY 1)""",
+        select="SELECT ticker, dup AS duplicate_timestamps, outside AS bars_outside_range, missing AS missing_required_values, invalid AS invalid_ohlc_rows, n AS bars, greatest(0, n - 9) AS complete_lookbacks, greatest(0, n - 5) AS complete_forward_bars FROM ck"),
+)
+def _(spark, sf):
+    """Ticker checks of a snapshot with repeated, missing and broken rows."""
+    d = F.dayofmonth("ts")
+    bars = src.daily_bars(spark, sf).withColumns({"close": F.when(d != 11, F.col("close")), "high": F.when(d == 13, F.col("low") / 2).otherwise(F.col("high")), "arrival": F.lit(1)})
+    twice = bars.filter(d == 7).withColumns({"arrival": F.lit(0), "close": F.lit(None).cast("double")})
+    return tidy(fd.ticker_checks(bars.unionByName(twice), "1995-01-01", "1996-12-31", 10, 5))

@@ -151,3 +151,16 @@ def test_cache_never_holds_unknown_dates(spark, tmp_path):
     kept = tables.read("earnings")
     assert [str(r.next_earnings) for r in kept.collect()] == ["2024-05-01"]
     assert tb.fresh_earnings(kept, "2024-01-02 09:00").count() == 1 and tb.fresh_earnings(kept, "2024-01-02 11:00").count() == 0
+
+
+def test_ticker_checks(spark):
+    t = lambda n: pd.Timestamp(f"2024-01-{n:02d}").to_pydatetime()
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", t(i), 1.0, 2.0, 1.0, 1.5, 10.0, 1) for i in range(1, 9)]
+    rows += [("a", t(3), 9.0, 9.0, 9.0, 9.0, 9.0, 0), ("a", t(9), 1.0, 0.5, 1.0, 1.0, 1.0, 1), ("a", t(10), 0.0, 2.0, 0.0, 1.0, 1.0, 1), ("a", t(11), 1.0, 2.0, 1.0, 1.0, -1.0, 1)]
+    rows += [("a", t(12), nan, 2.0, 1.0, None, 1.0, 1), ("a", t(13), 1.0, inf, 1.0, 1.0, 1.0, 1), ("a", t(30), 1.0, 2.0, 1.0, 1.0, 1.0, 1), ("b", t(30), 1.0, 2.0, 1.0, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows, "ticker string, ts timestamp, open double, high double, low double, close double, volume double, arrival int")
+    got = {r.ticker: r for r in fd.ticker_checks(df, "2024-01-01", "2024-01-20", 5, 3).collect()}
+    a = got["a"]
+    assert (a.duplicate_timestamps, a.bars_outside_range, a.missing_required_values, a.invalid_ohlc_rows, a.bars, a.complete_lookbacks, a.complete_forward_bars) == (1, 1, 2, 5, 8, 4, 5)
+    assert (got["b"].bars, got["b"].complete_lookbacks, got["b"].bars_outside_range) == (0, 0, 1)
