@@ -5,7 +5,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from barloom.functions import returns as rt
 from barloom.operators import calendar as cal
+from barloom.plans import alerts as al
+from barloom.plans import datasets as ds
 from barloom.plans import feeds as fd
 from barloom.plans import history as hs
 from barloom.session import checkpoint_dir, settle
@@ -326,3 +329,58 @@ def _(spark, sf):
     bars = src.daily_bars(spark, sf).withColumns({"close": F.when(d != 11, F.col("close")), "high": F.when(d == 13, F.col("low") / 2).otherwise(F.col("high")), "arrival": F.lit(1)})
     twice = bars.filter(d == 7).withColumns({"arrival": F.lit(0), "close": F.lit(None).cast("double")})
     return tidy(fd.ticker_checks(bars.unionByName(twice), "1995-01-01", "1996-12-31", 10, 5))
+
+
+# ---- functions over whole tables -----------------------------------------------------------------
+
+@query(
+    "timestamp_verdict",
+    with_(event_bars(60), SESSIONS, """
+v AS (SELECT ticker, s.d, count(*) FILTER (epoch(ts - opens)::BIGINT % 3600 = 0) AS g, bool_or(ts = opens) AS o, bool_or(ts = closes) AS c FROM bars JOIN sess s ON ts BETWEEN opens AND closes AND NOT early GROUP BY 1, 2),
+w AS (SELECT ticker, CASE WHEN g < 5 THEN 'undetermined' WHEN o AND NOT c THEN 'bar_start' WHEN c AND NOT o THEN 'bar_end' ELSE 'ambiguous' END AS vote FROM v)""",
+        select="""SELECT ticker, CASE WHEN bool_and(vote = 'bar_start') THEN 'bar_start' WHEN bool_and(vote = 'bar_end') THEN 'bar_end' WHEN bool_or(vote = 'ambiguous') OR (bool_or(vote = 'bar_start') AND bool_or(vote = 'bar_end')) THEN 'ambiguous' ELSE 'undetermined' END AS semantics FROM w GROUP BY 1"""),
+)
+def _(spark, sf):
+    """Whether a feed stamps bars at their start or end, from all its sessions' votes."""
+    bars = src.event_bars(spark, sf, 60)
+    return ds.timestamp_verdict(ds.timestamp_votes(bars, event_calendar(bars), 60))
+
+
+@query(
+    "bar_history",
+    with_(DAILY, select=f"SELECT ticker, {day('ts')} AS ts, {r('CASE WHEN month(ts) <> 5 THEN close END')} AS close, {r('volume', 1)} AS volume FROM bars WHERE ts BETWEEN TIMESTAMP '1994-02-01' AND TIMESTAMP '1995-03-31' AND day(ts) <> 20"),
+)
+def _(spark, sf):
+    """Bars of a span, the last version of each; rows that lack all figures go, rows that lack the close stay."""
+    bars = src.daily_bars(spark, sf).withColumn("arrival", F.lit(1))
+    none = {c: F.when(F.dayofmonth("ts") != 20, F.col(c)) for c in ("open", "high", "low", "close", "volume")}
+    last = bars.withColumns(none).withColumn("close", F.when(F.month("ts") != 5, F.col("close")))
+    first = bars.filter(F.dayofmonth("ts") != 20).withColumns({"arrival": F.lit(0), "close": F.lit(-1.0)})
+    return tidy(src.daily_history(last.unionByName(first), "1994-02-01", "1995-03-31", "arrival").select("ticker", "ts", "close", "volume"))
+
+
+FILL = "l_extendedprice / l_quantity"
+
+
+@query("additive_fills", PLAIN(f"SELECT l_orderkey AS id, l_linenumber AS line, {r(f'{FILL} * (1 + 7.5e-4)')} AS entry_fill, {r(f'{FILL} * (1 - 7.5e-4)')} AS exit_fill FROM lineitem"))
+def _(spark, sf):
+    """Fills of every line with slippage and commission added up."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return tidy(li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), rt.additive_entry_fill(price, 5.0, 2.5).alias("entry_fill"), rt.additive_exit_fill(price, 5.0, 2.5).alias("exit_fill")))
+
+
+@query("payload_hashes", PLAIN("SELECT p_partkey AS id, sha256(p_name || '|' || p_brand || '|' || p_size) AS payload_sha256 FROM part"))
+def _(spark, sf):
+    """The hash by which an alert's payload is known."""
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumn("size_text", F.col("p_size").cast("string"))
+    return p.select(F.col("p_partkey").alias("id"), al.payload_hash("p_name", "p_brand", "size_text").alias("payload_sha256"))
+
+
+@query("signal_providers", PLAIN("SELECT o_orderpriority AS timeframe, count(DISTINCT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderstatus END) AS providers, count(*) FILTER (o_orderkey % 50 = 0) AS missing, false AS valid FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT 'F', 1, 0, true"))
+def _(spark, sf):
+    """Whether a frame of signals comes from one provider: a mixed one with gaps, and one that does."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    mixed = o.filter("o_orderpriority = '1-URGENT'").select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderstatus")).alias("provider"))
+    one = o.filter("o_orderstatus = 'F'").select(F.col("o_orderstatus").alias("provider"))
+    return hs.single_provider(mixed).withColumn("timeframe", F.lit("1-URGENT")).unionByName(hs.single_provider(one).withColumn("timeframe", F.lit("F")))
