@@ -1,7 +1,6 @@
 """Registered queries of the text operators, each over its whole table."""
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import functions as F
 
 from barloom.session import Scratch
@@ -128,7 +127,9 @@ def op13(spark, sf_dir):
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
+@query("pipeline")
 def pipeline(spark, sf_dir):
     """Documents through all five stages."""
+    import corpus_pipeline  # at the repository's top; the other queries do without it
+
     return corpus_pipeline.run(spark, sf_dir)
