@@ -181,3 +181,19 @@ def test_watchlists(spark):
     assert [r.ticker for r in tb.load_watchlist(one, "w").collect()] == ["B", "A"]
     r = tb.list_watchlists(two).first()
     assert r.tickers == 1 and r.created_at.month == 1 and r.updated_at.month == 2
+
+
+def test_stream_keeps_only_what_may_still_be_preceded(spark, tmp_path):
+    """A dense batch is decided at once except for the last hour of its key; the decisions are those of the table."""
+    t = pd.Timestamp("2024-01-02 10:00")
+    rows = [("AAA", "coil", "short", t + pd.Timedelta(seconds=2 * ((i * 7919) % 20_000)), i % 5 != 0) for i in range(20_000)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["ticker", "alert_type", "timeframe", "observed_at", "delivered"]))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn("tie", F.lit(""))
+    sb.run_available(ses.cooldown_decisions(stream, COOL, "tie"), str(tmp_path / "out"), str(tmp_path / "ck"), settings=ses.STATE_STORE)
+    batch = {r.observed_at: r.decision for r in al.decide(df, COOL).collect()}
+    out = {r.observed_at: r.decision for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    end = max(batch)
+    assert out == {at: d for at, d in batch.items() if at < end - pd.Timedelta(hours=1)}
+    waiting = spark.read.format("statestore").option("batchId", 0).option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load(str(tmp_path / "ck"))
+    assert waiting.count() == 20_000 - len(out)
