@@ -174,12 +174,11 @@ def score_band(score: Column) -> Column:
 
 
 def outcome_stats(resolved: DataFrame) -> DataFrame:
-    """Total, mean, win rate, best and worst per timeframe and score band."""
+    """Total, mean, win rate, best and worst per timeframe and score band, unrounded: a figure is rounded once, where it is shown."""
     x = F.col("outcome_pct")
     return resolved.filter(F.col("outcome_close").isNotNull()).groupBy("timeframe", score_band(F.col("score")).alias("score_bucket")).agg(
-        F.count(F.lit(1)).alias("total"), F.round(F.avg(x), 2).alias("avg_return_pct"),
-        F.round(100.0 * F.count_if(x > 0) / F.count(F.lit(1)), 1).alias("win_rate_pct"),
-        F.round(F.max(x), 2).alias("best"), F.round(F.min(x), 2).alias("worst"),
+        F.count(F.lit(1)).alias("total"), F.avg(x).alias("avg_return_pct"),
+        (F.avg((x > 0).cast("int")) * 100).alias("win_rate_pct"), F.max(x).alias("best"), F.min(x).alias("worst"),
     )
 
 

@@ -222,7 +222,7 @@ SELECT timeframe, CASE WHEN score >= 80 THEN '80-100' WHEN score >= 60 THEN '60-
   {r('avg((outcome_pct > 0)::INT) * 100', 1)} AS win_rate_pct, {r('max(outcome_pct)', 2)} AS best, {r('min(outcome_pct)', 2)} AS worst FROM out WHERE later IS NOT NULL GROUP BY 1, 2"""),
 )
 def _(spark, sf):
-    s = hs.outcome_stats(outcomes(spark, sf))
+    s = settle(hs.outcome_stats(outcomes(spark, sf)))
     return tidy(s.select("timeframe", "score_bucket", "total", "avg_return_pct", "win_rate_pct"), 1).join(tidy(s.select("timeframe", "score_bucket", "best", "worst"), 2), ["timeframe", "score_bucket"])
 
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from barloom.plans import alerts as al
 from barloom.plans import context as cx
 from barloom.plans import datasets as ds
+from barloom.plans import history as hs
 from barloom.plans import weekly as wk
+from catalog.base import tidy
 
 SPEC = wk.WeeklySpec(minimum_signals=10, minimum_stock_tickers=2, minimum_etf_tickers=1)
 GOOD = dict(candidate_count=50, baseline_count=50, lift_pct=1.0, sensitivity_lift_pct=0.5, q10_lift_pct=-0.2, candidate_stock_tickers=3, candidate_etf_tickers=1,
@@ -130,3 +132,10 @@ def test_holdout_bars_keep_their_warmup_alone(spark):
     rows = [("a", day(i), float(i)) for i in range(40)] + [("few", day(i), 1.0) for i in range(18, 30)] + [("none", day(i), 1.0) for i in range(5)]
     got = holdout_bars(spark.createDataFrame(rows, "ticker string, ts timestamp, close double"), Split("holdout", "2024-01-21", "2024-01-31"), 6).collect()
     assert sorted(r.close for r in got if r.ticker == "a") == [float(i) for i in range(15, 31)] and {r.ticker for r in got} == {"a"}
+
+
+def test_outcome_figures_are_rounded_once(spark):
+    """A mean of 96.448 shows as 96.4 at one digit; rounded to 96.45 before, it showed as 96.5."""
+    rows = spark.createDataFrame([("long", 50, x, 1.0) for x in (96.44, 96.45, 96.46, 96.442)], "timeframe string, score int, outcome_pct double, outcome_close double")
+    r = hs.outcome_stats(rows).first()
+    assert r.avg_return_pct == pytest.approx(96.448, abs=1e-9) and tidy(hs.outcome_stats(rows), 1).first().avg_return_pct == 96.4
