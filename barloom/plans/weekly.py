@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Split
@@ -184,10 +184,19 @@ def paired_bootstrap(rows: DataFrame, value: str, spec: WeeklySpec) -> DataFrame
     return cluster_bootstrap(clusters, ["split", "horizon"], "difference", "one", spec.bootstrap_resamples, spec.bootstrap_seed)
 
 
+def ordered_mean(c: Column) -> Column:
+    """A mean that depends on the values alone and not on the order in which they come, so that two rules with the same trades tie.
+
+    For one ticker's weeks in a split, which the calendar bounds.
+    """
+    values = F.array_sort(F.collect_list(c))
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
 def rule_lift(rows: DataFrame, value: str, min_trades: int = 5) -> DataFrame:
     """Per split and horizon: pooled lift of the candidate and the share of tickers where it leads."""
     per = rows.filter(F.col(value).isNotNull()).groupBy("split", "horizon", "ticker").agg(
-        *[f(F.when(F.col("rule") == r, F.col(value))).alias(f"{r}_{n}") for r in ("candidate", "baseline") for n, f in (("n", F.count), ("mean", F.avg), ("sum", F.sum))]
+        *[f(F.when(F.col("rule") == r, F.col(value))).alias(f"{r}_{n}") for r in ("candidate", "baseline") for n, f in (("n", F.count), ("mean", ordered_mean), ("sum", F.sum))]
     )
     enough = (F.col("candidate_n") >= min_trades) & (F.col("baseline_n") >= min_trades)
     return per.groupBy("split", "horizon").agg(
@@ -208,7 +217,7 @@ def split_evidence(trades: DataFrame, spec: WeeklySpec) -> DataFrame:
     of = lambda rule, c: F.when(F.col("rule") == rule, F.col(c))
     per = rows.groupBy("split", "ticker", "cohort").agg(*[
         f(of(rule, c)).alias(f"{rule}_{name}") for rule in ("candidate", "baseline")
-        for name, f, c in (("n", F.count, net), ("sum", F.sum, net), ("mean", F.avg, net), ("dear_n", F.count, dear), ("dear_sum", F.sum, dear))
+        for name, f, c in (("n", F.count, net), ("sum", F.sum, net), ("mean", ordered_mean, net), ("dear_n", F.count, dear), ("dear_sum", F.sum, dear))
     ])
     enough = (F.col("candidate_n") >= spec.minimum_ticker_trades) & (F.col("baseline_n") >= spec.minimum_ticker_trades)
     leads = (F.col("candidate_mean") > F.col("baseline_mean")).cast("double")

@@ -139,3 +139,12 @@ def test_outcome_figures_are_rounded_once(spark):
     rows = spark.createDataFrame([("long", 50, x, 1.0) for x in (96.44, 96.45, 96.46, 96.442)], "timeframe string, score int, outcome_pct double, outcome_close double")
     r = hs.outcome_stats(rows).first()
     assert r.avg_return_pct == pytest.approx(96.448, abs=1e-9) and tidy(hs.outcome_stats(rows), 1).first().avg_return_pct == 96.4
+
+
+def test_equal_trades_of_both_rules_tie_in_any_order(spark):
+    nets = [0.1, 0.2, 0.3, 1e16, -1e16, 0.7]
+    rows = [("holdout", "A", "stock", rule, 13, "complete", x, x) for rule, values in (("candidate", nets), ("baseline", nets[::-1])) for x in values]
+    trades = spark.createDataFrame(rows, "split string, ticker string, cohort string, rule string, horizon int, outcome_status string, net_return_pct_5bps double, net_return_pct_25bps double").coalesce(1)
+    shares = {wk.split_evidence(t, wk.WeeklySpec()).first().leading_stock_share for t in (trades, trades.orderBy(F.desc("rule")), trades.orderBy("net_return_pct_5bps"))}
+    lift = wk.rule_lift(trades, "net_return_pct_5bps").first().positive_fraction
+    assert shares == {0.0} and lift == 0.0
