@@ -290,8 +290,9 @@ rs AS MATERIALIZED (
 
 
 def market_parts(spark, sf):
-    bars = src.daily_bars(spark, sf)
-    proxies = src.market_bars(spark, sf)
+    """Bars of the tickers and of the market, made from the lines once, whatever a study reads them for, and each ticker's proxy."""
+    bars = settle(src.daily_bars(spark, sf))
+    proxies = settle(src.market_bars(spark, sf))
     mapping = bars.select("ticker").distinct().withColumn("proxy", F.lit("MARKET"))
     return bars, proxies, mapping
 
